@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.llm import simhash
+from lumenvec.llm import html_text, packing, quality_rules, simhash
 from lumenvec.llm.common import table
 
 
@@ -16,5 +16,60 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "n_stop_words", "base_failed", "kept",
+    )
+
+
+def _op6_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
+    value = {
+        "mean_word_chars": "word_chars / greatest(n_words, 1)",
+        "symbols_per_word": "n_symbols / greatest(n_words, 1)",
+        "distinct_stop_words": "n_stop_words",
+        "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+    }
+    tests = " AND ".join(
+        f"{value[name]} >= {low}" + ("" if high == float("inf") else f" AND {value[name]} <= {high}")
+        for name, low, high in quality_rules.RULES
+    )
+    return f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+    w AS (SELECT doc_id, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
+                 list_filter(string_split(body, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+    n AS (SELECT doc_id, body, lines, words, len(words)::BIGINT AS n_words FROM w),
+    g AS (SELECT doc_id, unnest(range(1, n_words - 6)) AS i, words FROM n WHERE n_words >= 8),
+    h AS (SELECT doc_id, i, list_aggregate(words[i:i+7], 'string_agg', ' ') AS win FROM g),
+    c AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+    r AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words
+          FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM c) GROUP BY doc_id),
+    m AS (SELECT doc_id, n_words, length(list_aggregate(list_concat([''], words), 'string_agg', ''))::BIGINT AS word_chars,
+                 length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+                 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                 len(lines)::BIGINT AS n_lines,
+                 coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+                 len(list_intersect(list_distinct(regexp_extract_all(lower(body), '[^\x20\x09-\x0D]+')), [{stop}]))::BIGINT AS n_stop_words
+          FROM n LEFT JOIN r USING (doc_id)),
+    f AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, base_failed,
+           NOT base_failed AND {tests} AS kept FROM f"""
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_packing": op10_packing,
+}
+ORACLES: dict[str, str] = {"op6_quality_rules": _op6_sql()}
