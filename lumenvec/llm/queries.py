@@ -38,7 +38,7 @@ def _op6_sql() -> str:
     return f"""
     WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
     w AS (SELECT doc_id, body, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
-                 list_filter(string_split(body, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+                 list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
     n AS (SELECT doc_id, body, lines, words, len(words)::BIGINT AS n_words FROM w),
     g AS (SELECT doc_id, unnest(range(1, n_words - 6)) AS i, words FROM n WHERE n_words >= 8),
     h AS (SELECT doc_id, i, list_aggregate(words[i:i+7], 'string_agg', ' ') AS win FROM g),
