@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.llm import html_text, packing, quality_rules, simhash
+from lumenvec.llm import html_text, mixing, packing, quality_rules, simhash
 from lumenvec.llm.common import table
 
 
@@ -16,6 +16,37 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), weights=(5, 2, 1), percent=150, most=2)
+
+
+_OP3_SQL = f"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                      md5(coalesce(doc_id::VARCHAR, '')) AS hash FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    k AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s),
+    w AS (SELECT *, [5, 2, 1][(k % 3 + 1)::INT]::BIGINT AS weight FROM k),
+    p AS (SELECT *, (sum(source_size) OVER ())::BIGINT * 150 / 100 AS total,
+                 coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+                 (sum(weight) OVER (ORDER BY 2 * source_size / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weights FROM w),
+    f AS (SELECT (total - before) AS rest, weights FROM p
+          WHERE (total - before) / weights * weight <= 2 * source_size ORDER BY before LIMIT 1),
+    t AS (SELECT p.source, k, source_size, least((2 * source_size)::DOUBLE, coalesce(weight * f.rest / f.weights, (2 * source_size)::DOUBLE)) AS target
+          FROM p LEFT JOIN f ON true),
+    a AS (SELECT coalesce(sum(target), 0) AS total FROM t),
+    b AS (SELECT *, round(sum(target) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) / total * {mixing.CYCLE})::BIGINT AS high FROM t, a),
+    r AS (SELECT k, lag(high, 1, 0) OVER (ORDER BY k) AS low, high FROM b),
+    q AS (SELECT (slot % {mixing.CYCLE}) * {mixing.STEP} % {mixing.CYCLE} AS point
+          FROM (SELECT unnest(range((SELECT floor(total / {mixing.SLOT_WORDS})::BIGINT FROM a))) AS slot)),
+    n AS (SELECT k, count(*) * {mixing.SLOT_WORDS} AS words FROM q JOIN r ON point >= low AND point < high GROUP BY k),
+    c AS (SELECT d.doc_id, size, t.k, source_size, target,
+                 coalesce(sum(size) OVER (PARTITION BY t.k ORDER BY hash, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           (greatest(0, least(size, coalesce(words, 0) - place)) + greatest(0, least(size, coalesce(words, 0) - place - source_size)))::BIGINT AS taken
+    FROM c LEFT JOIN n USING (k)"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -68,8 +99,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_mixing": op3_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op6_quality_rules": _op6_sql()}
+ORACLES: dict[str, str] = {"op3_mixing": _OP3_SQL, "op6_quality_rules": _op6_sql()}
