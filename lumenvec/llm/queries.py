@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.llm import html_text, mixing, packing, quality_rules, simhash
+from lumenvec.llm import chat, html_text, mixing, packing, quality_rules, simhash, vector_dedup
 from lumenvec.llm.common import table
 
 
@@ -16,6 +16,37 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SPLICED = "\\### Assistant: </turn> ok"
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SPLICED).alias("text"),
+    )
+    return chat.digests(chat.format_conversations(rows.unionByName(planted)))
+
+
+def _shown_sql(column: str) -> str:
+    return (
+        f"(length({column}) + length({column}) - length(replace({column}, chr(92), ''))"
+        f" + (length({column}) - length(replace({column}, '###', ''))) // 3"
+        f" + (length({column}) - length(replace({column}, '</turn>', ''))) // 7)"
+    )
+
+
+_OP2_SQL = f"""
+    WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '{SPLICED}' UNION ALL SELECT -7, 1, 'assistant', '{SPLICED}'),
+    g AS (SELECT conv_id, count(*) AS n_turns,
+                 string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+                 coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+                 sum({len(chat.OPEN + chat.HEAD + chat.CLOSE)} + {_shown_sql("role")} + {_shown_sql("text")})::BIGINT AS formatted_chars
+          FROM a GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), weights=(5, 2, 1), percent=150, most=2)
 
@@ -47,6 +78,22 @@ _OP3_SQL = f"""
     FROM c LEFT JOIN n USING (k)"""
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+_OP5_SQL = """
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    n AS (SELECT vec_id, label, e, list_inner_product(e, e) AS q FROM v
+          WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE a.q > 0 AND b.q > 0 AND list_inner_product(a.e, b.e) / sqrt(a.q * b.q) >= 0.93),
+    r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON vec_id = c.x
+    LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON vec_id = k.x"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -99,9 +146,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_chat": op2_chat,
     "op3_mixing": op3_mixing,
+    "op5_vectors": op5_vectors,
     "op6_quality_rules": op6_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op3_mixing": _OP3_SQL, "op6_quality_rules": _op6_sql()}
+ORACLES: dict[str, str] = {
+    "op2_chat": _OP2_SQL,
+    "op3_mixing": _OP3_SQL,
+    "op5_vectors": _OP5_SQL,
+    "op6_quality_rules": _op6_sql(),
+}
