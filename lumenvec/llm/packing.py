@@ -18,7 +18,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +49,11 @@ class WordEncoder:
     PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
     PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|[^a-z0-9ß-öø-įı-ſ]+")
 
-    def __init__(self, path: str, generation: int = 400_000):
+    def __init__(self, path: str, generation: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.generation, self.young, self.old = generation, {}, {}
+        self.four_bytes = [t.to_bytes(4, "little") for t in range(self.tokenizer.get_vocab_size())]
         # The model sees bytes as printable characters; the tokenizer's own table of them.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x180)}
@@ -61,15 +61,20 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            if self.PLAIN.fullmatch(word) and "<|" not in word:
+            if word.isascii() and word.isalpha():
+                tokens = [t.id for t in self.tokenize(word.lower())]
+            elif self.PLAIN.fullmatch(word) and "<|" not in word:
                 low = word.lower()
-                pieces = (low,) if low.isalpha() else self.PIECE.findall(low)
                 if not word.isascii():
-                    pieces = [p.translate(self.shown) for p in pieces]
+                    pieces = [p.translate(self.shown) for p in ((low,) if low.isalpha() else self.PIECE.findall(low))]
+                elif low[:-1].isalpha():  # a word and one sign
+                    pieces = (low[:-1], low[-1])
+                else:
+                    pieces = self.PIECE.findall(low)
                 tokens = [t.id for p in pieces for t in self.tokenize(p)]
             else:
                 tokens = self.tokenizer.encode(word, add_special_tokens=False).ids
-            ids = pack_ids(f"<{len(tokens)}I", *tokens)
+            ids = b"".join([self.four_bytes[t] for t in tokens])
         if len(self.young) >= self.generation:
             self.old, self.young = self.young, {}
         self.young[word] = ids
