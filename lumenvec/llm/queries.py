@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenvec.llm import chat, html_text, mixing, packing, quality_rules, simhash, vector_dedup
+from lumenvec.llm import (
+    chat,
+    html_text,
+    license_scan,
+    line_dedup,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    vector_dedup,
+)
 from lumenvec.llm.common import table
 
 
@@ -78,6 +89,10 @@ _OP3_SQL = f"""
     FROM c LEFT JOIN n USING (k)"""
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped_lines")
+
+
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -135,6 +150,19 @@ def _op6_sql() -> str:
            NOT base_failed AND {tests} AS kept FROM f"""
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_model.score(docs, model).select(
+        "doc_id", F.coalesce(quality_model.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -148,8 +176,11 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
     "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_vectors": op5_vectors,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_model": op7_quality_model,
+    "op8_license_scan": op8_license_scan,
     "op9_html_extraction": op9_html_extraction,
     "op10_packing": op10_packing,
 }

@@ -204,3 +204,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFra
     found = components(links(once.filter("node is not null"), most))
     classes = once.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of near duplicates.
+
+    The row with the smallest id stays. Of rows that repeat an id, one with the smallest fingerprint
+    stays; rows without id stay.
+    """
+    found = near_duplicates(docs, shingle, most)
+    kept = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.min("fp").alias("_fp"))
+    plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return plain.join(kept, F.col("_id") == F.col("_kept"), "left").filter("_kept is not null or _id is null").select("_row.*")
