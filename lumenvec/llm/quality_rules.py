@@ -128,5 +128,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFram
 
 def filter_documents(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns that it came with."""
-    plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("text"))
-    return judge(plain, "text", rules).filter("kept").select("_row.*")
+    plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    # The row number keeps the optimizer from copying the measures into a filter below them, where
+    # each would be computed anew for every word.
+    judged = judge(plain, "text", rules).withColumn("_hold", F.monotonically_increasing_id())
+    return judged.filter("kept AND _hold >= 0").select("_row.*")
