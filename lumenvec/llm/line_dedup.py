@@ -32,8 +32,9 @@ MIN_FIXED, FIXED_SHARE = 5, 0.7
 
 def masked(line: Column) -> Column:
     """Tokens joined by single spaces, those with a digit as ``<*>``."""
-    spaced = F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")
-    return F.trim(F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", ANY))
+    plain = F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
+    trimmed = F.trim(plain)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(trimmed, r"[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(trimmed)
 
 
 def _needed(tokens: Column) -> Column:
@@ -41,12 +42,36 @@ def _needed(tokens: Column) -> Column:
 
 
 def _distinct_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, k1, k2``: each masked line with a word once for each row of ``docs``."""
+    """``doc_id, line, k1, k2, n, leaf``: each masked line with a word once for each row of ``docs``."""
     worded = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
         docs.filter("doc_id is not null")
         .select("doc_id", F.explode(F.array_distinct(F.transform(worded, masked))).alias("line"))
-        .select("doc_id", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+        .select(
+            "doc_id", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"),
+            (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).alias("n"),
+        )
+        .withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", DEPTH)))
+    )
+
+
+#: Words of 64 bits of the filter below, which is broadcast: 4 MB with their places, at any size.
+FILTER_WORDS = 1 << 18
+
+
+def _place(leaf: Column) -> tuple[Column, Column]:
+    return F.pmod(F.shiftright(leaf, 6), F.lit(FILTER_WORDS)).cast("int"), F.pmod(leaf, F.lit(64)).cast("int")
+
+
+def _maybe_in(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines whose leaf may be one of ``leaves``, by a bitmap of fixed size; none is missed."""
+    word, bit = _place(F.col("_leaf"))
+    bits = leaves.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    word, bit = _place(F.col("leaf"))
+    return (
+        lines.withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("_word"))
+        .filter(F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1)
+        .drop("_at", "_word", "_bits")
     )
 
 
@@ -55,12 +80,9 @@ def recurring(docs: DataFrame) -> DataFrame:
 
     ``keeper`` is the id of the document that keeps the template.
     """
-    tokens = F.split("line", " ")
     lines = _distinct_lines(docs)
     counted = checkpointed(
-        lines.withColumn("n", F.size(tokens))
-        .withColumn("leaf", F.xxhash64("n", F.slice(tokens, 1, DEPTH)))
-        .groupBy("k1", "k2", "leaf", "n")
+        lines.groupBy("k1", "k2", "leaf", "n")
         .agg(F.count("*").alias("rows"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     )
     often = (F.col("first") != F.col("last")) & (F.col("rows") >= _needed(F.col("n")))
@@ -72,8 +94,9 @@ def recurring(docs: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("lines"), F.sum("rows").alias("total"), F.min("first").alias("low"), F.max("last").alias("high"))
         .filter("lines > 1 AND low <> high").filter(F.col("total") >= _needed(F.col("_n"))).select("_leaf")
     )
+    leaves = checkpointed(leaves)
     open_lines = counted.filter(F.col("n") > DEPTH).join(leaves, F.col("leaf") == F.col("_leaf"), "left_semi")
-    text = lines.select(F.col("doc_id").alias("_doc"), "line", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    text = _maybe_in(lines, leaves).select(F.col("doc_id").alias("_doc"), "line", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     # Each line is read once more, where its first document has it.
     read = (
         open_lines.join(text, (F.col("first") == F.col("_doc")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
