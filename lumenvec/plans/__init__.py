@@ -1 +1 @@
-
+"""Whole workflows put together from the operators."""
