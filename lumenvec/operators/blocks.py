@@ -54,8 +54,6 @@ def nearest(x: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.n
         similarity = unit(x) @ unit(c).T
         label = similarity.argmax(1)
         return label, 1 - similarity[np.arange(len(x)), label]
-    if metric != "l2":
-        raise ValueError(f"unknown metric {metric}")
     distance = (x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * (x @ c.T)
     label = distance.argmin(1)
     return label, distance[np.arange(len(x)), label]
@@ -73,6 +71,8 @@ def assign(points: DataFrame, centroids: DataFrame, metric: str = "cosine", vec:
 
 
 def assign_to(points: DataFrame, ids: np.ndarray, c: np.ndarray, metric: str, vec: str = "vec") -> DataFrame:
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric {metric}")
     sent = points.sparkSession.sparkContext.broadcast((ids, c))
     at = points.columns.index(vec)
 

@@ -118,6 +118,27 @@ class KMeansVec:
         return fitted
 
 
+def spread_centroids(points: DataFrame, k: int, seed: int, key: str = "id", vec: str = "vec", per_centroid: int = 64) -> np.ndarray:
+    """Starting centroids far from each other, chosen among a sample of ``per_centroid * k`` points.
+
+    Each next one is the best of a few candidates drawn by squared distance to those chosen.
+    """
+    _, x = small_matrix(sample_points(points.select(key, vec), per_centroid * k, seed, key), key, vec)
+    if len(x) < k:
+        raise ValueError(f"fewer vectors than k={k}")
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    near = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        share = near / near.sum() if near.sum() > 0 else np.full(len(x), 1 / len(x))
+        tries = rng.choice(len(x), size=2 + int(np.log(k)), p=share)
+        left = np.minimum(near, ((x[tries][:, None] - x) ** 2).sum(2))
+        best = int(left.sum(1).argmin())
+        chosen.append(int(tries[best]))
+        near = left[best]
+    return x[chosen]
+
+
 def cluster_counts(assignments: DataFrame, k: int) -> DataFrame:
     """``cluster_id, cnt`` of all k clusters, the empty ones with 0."""
     found = assignments.groupBy("cluster_id").agg(F.count("*").alias("cnt"))
@@ -137,7 +158,7 @@ def cluster_embeddings(points: DataFrame, k: int, preprocess: str = "raw", n_ini
         raise ValueError(f"fewer vectors than k={k}")
     best = None
     for run in range(n_init):
-        fitted = KMeansVec(k, max_iter, "l2", seed + run, "reinit", key).fit(rows)
+        fitted = KMeansVec(k, max_iter, "l2", seed + run, "reinit", key).fit(rows, spread_centroids(rows, k, seed + run, key))
         if best is None or fitted.log[-1]["avg_loss"] < best.log[-1]["avg_loss"]:
             best = fitted
     return best, unit(best.centroids)

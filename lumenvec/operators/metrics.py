@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenvec.functions import vectors as V
 from lumenvec.operators import sampling
 from lumenvec.operators.blocks import small_matrix
-from lumenvec.operators.cluster import KMeansVec
+from lumenvec.operators.cluster import KMeansVec, spread_centroids
 from lumenvec.operators.prepare import mean_vector, preprocessed
 from lumenvec.operators.solvers import gromov_wasserstein, hungarian
 
@@ -159,8 +159,9 @@ def cluster_wasserstein(vision: DataFrame, text: DataFrame, k: int, seed: int, n
     k = min(k, vision.count(), text.count())
     if k < 2:
         raise ValueError("k must be at least 2")
-    a = KMeansVec(k, num_iters, "l2", seed).fit(vision).centroids
-    b = KMeansVec(k, num_iters, "l2", seed + 1).fit(text).centroids
+    a, b = (
+        KMeansVec(k, num_iters, "l2", salt).fit(side, spread_centroids(side, k, salt)).centroids for side, salt in ((vision, seed), (text, seed + 1))
+    )
     cost = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
     return float(cost[np.arange(k), hungarian(cost)].mean()), k
 

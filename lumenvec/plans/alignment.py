@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.operators.blocks import apply_map, cross_gram, knn
-from lumenvec.operators.cluster import KMeansVec, group_means
+from lumenvec.operators.cluster import KMeansVec, group_means, spread_centroids
 from lumenvec.operators.matching import profile
 from lumenvec.operators.metrics import paired_cosine_mean, retrieval_top1_rank
 from lumenvec.operators.sampling import sample_points
@@ -43,8 +43,11 @@ def centred_gram(x: np.ndarray) -> np.ndarray:
 
 def anchors(left: DataFrame, right: DataFrame, clusters: int, qap_runs: int, subsample: int | None, seed: int, iters: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Centroids of both sides, the right ones in the order that best matches the left's geometry."""
-    a = KMeansVec(clusters, iters, "l2", seed, "reinit").fit(sample_points(left, subsample, seed)).centroids
-    b = KMeansVec(clusters, iters, "l2", seed + 1, "reinit").fit(sample_points(right, subsample, seed + 1)).centroids
+    found = []
+    for side, salt in ((left, seed), (right, seed + 1)):
+        points = sample_points(side, subsample, salt)
+        found.append(KMeansVec(clusters, iters, "l2", salt, "reinit").fit(points, spread_centroids(points, clusters, salt)).centroids)
+    a, b = found
     order, _ = quadratic_assignment(centred_gram(a), centred_gram(b), qap_runs, seed)
     return a, b[order]
 
@@ -87,7 +90,7 @@ def fit_alignment(
         w = (1 - alpha) * w + alpha * procrustes(cross_gram(sample, mean_match(near, right)))
         out.refine1_cosine.append(_cosine(eval_left, eval_right, w))
     if refine2_clusters:
-        c = KMeansVec(refine2_clusters, 10, "l2", seed, "reinit").fit(left).centroids
+        c = KMeansVec(refine2_clusters, 10, "l2", seed, "reinit").fit(left, spread_centroids(left, refine2_clusters, seed)).centroids
         d = KMeansVec(refine2_clusters, 10, "l2", seed).fit(right, c @ w).centroids
         w = (1 - alpha) * w + alpha * procrustes(c.T @ d)
         out.refine2_cosine = _cosine(eval_left, eval_right, w)
