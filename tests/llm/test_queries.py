@@ -1,0 +1,147 @@
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from lumenvec.llm import queries
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(name, same_as_sql):
+    same_as_sql(queries.QUERIES[name], queries.ORACLES[name])
+
+
+def _documents(spark, sf):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def slow_fingerprint(text, n):
+    words = WORD.findall((text or "").translate(ASCII_LOWER))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + n]).encode(), 42) for k in range(max(1, len(words) - n + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def closure(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_op1_against_all_pairs(spark, sf):
+    docs = _documents(spark, sf)
+    fp = {i: slow_fingerprint(r["text"], 4) for i, r in docs.items()}
+    ids = sorted(fp)
+    f = np.array([fp[i] for i in ids], np.uint64)
+    i, j = np.nonzero(np.bitwise_count(f[:, None] ^ f) <= 4)
+    want = closure(ids, [(ids[a], ids[b]) for a, b in zip(i, j, strict=True)])
+    got = queries.op1_simhash(spark, sf).collect()
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fp[i]:016x}", want[i]) for i in ids}
+
+
+def test_op7_held_out_accuracy(spark, sf):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = queries.op7_quality_model(spark, sf).collect()
+    assert len(rows) == len(_documents(spark, sf))
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    held = [(labels[r["doc_id"]], r["predicted"]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert np.mean([a == b for a, b in held]) > 0.9
+
+
+def test_op8_finds_planted_lines(spark, sf):
+    found = {(r["doc_id"], r["license"]) for r in queries.op8_license_scan(spark, sf).collect()}
+    lines = {
+        "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "MIT": "Released under the MIT License.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Proprietary": "All rights reserved.",
+    }
+    want = {(i, name) for i, r in _documents(spark, sf).items() for name, line in lines.items() if line in (r["text"] or "")}
+    assert found == want
+
+
+def test_op9_text_of_articles(spark, sf):
+    import html
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r["page_id"]: r for r in queries.op9_html_extraction(spark, sf).collect()}
+    for p in pages:
+        article = p["html"].partition("<article>")[2].partition("</article>")[0]
+        blocks = [re.sub(r"[\x20\x09-\x0D]+", " ", html.unescape(re.sub("</?(?:b|br)>", " ", b))).strip() for b in re.split("</?(?:p|h1)>", article)]
+        assert got[p["page_id"]]["text"] == "\n".join(b for b in blocks if b)
+        assert got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"])
+
+
+def test_op10_round_trip(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = _documents(spark, sf)
+    pieces, sequences = {}, {}
+    for r in queries.op10_packing(spark, sf).collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    assert set(pieces) == set(docs)
+    for i, r in docs.items():
+        ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for p in sorted(pieces[i], key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids)
+            at += p["length"]
+            assert p["ids_crc32"] == zlib.crc32(ids[p["start"] : at].tobytes())
+        assert at == len(ids)
+    for rows in sequences.values():
+        rows.sort(key=lambda p: p["offset"])
+        assert [p["offset"] for p in rows] == [sum(q["length"] for q in rows[:k]) for k in range(len(rows))]
+        total = sum(p["length"] for p in rows)
+        assert total <= 2048 and total & (total - 1) == 0  # full, or a power of two
+
+
+def test_op4_against_counts_of_lines(spark, sf):
+    docs = {i: r["text"] for i, r in _documents(spark, sf).items()}
+    got = {r["doc_id"]: r for r in queries.op4_line_dedup(spark, sf).collect()}
+    where = {}
+    for i, text in docs.items():
+        for line in text.split("\n"):
+            where.setdefault(" ".join(WORD.findall(line)), set()).add(i)
+    for i, text in docs.items():
+        kept = got[i]["text"].split("\n")
+        for line in text.split("\n"):
+            plain = " ".join(WORD.findall(line))
+            if plain and not re.search(r"\d", plain) and len(where[plain]) >= (2 if len(plain.split(" ")) >= 20 else 3):
+                assert (line in kept) == (i == min(where[plain])), line
+        assert all(line in text.split("\n") for line in kept if line)
+
+
+def test_op2_digests_of_planted_conversation(spark, sf):
+    r = next(r for r in queries.op2_chat(spark, sf).collect() if r["conv_id"] == -7)
+    text = queries.SPLICED
+    assert r["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    assert (r["loss_chars"], r["loss_sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_op3_shares(spark, sf):
+    docs = _documents(spark, sf)
+    rows = queries.op3_mixing(spark, sf).collect()
+    by = {}
+    for r in rows:
+        assert r["taken"] <= 2 * r["size"]
+        s = by.setdefault(docs[r["doc_id"]]["source"], [0, r["target"], r["source_size"]])
+        s[0] += r["taken"]
+    assert all(abs(t - target) <= 128 * 6 and target <= 2 * size for t, target, size in by.values())
+    assert sum(s[1] for s in by.values()) == pytest.approx(1.5 * sum(s[2] for s in by.values()))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op3_mixing(spark, sf).collect()))
