@@ -7,6 +7,8 @@ order.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 from lumenvec.functions import images as I
 from lumenvec.functions import vectors as V
 from lumenvec.operators import blocks, cluster, matching, metrics, prepare, records, retrieval, sampling, solvers
-from lumenvec.plans import alignment, projection
+from lumenvec.plans import alignment, image_query, projection
+from lumenvec.streaming import assign as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -332,10 +335,10 @@ def image_cluster_summary(spark, sf):
 def multi_k_index(spark, sf):
     rows = None
     for k, c in ((10, _small(spark, sf)), (40, _large(spark, sf))):
-        own = blocks.assign(_patches(spark, sf).filter("image_index = 3"), c).withColumn("k", F.lit(k)).select("k", "cluster_id", "distance")
+        own = blocks.assign(_patches(spark, sf), c).withColumn("k", F.lit(k)).select("k", "image_index", "patch_index", "cluster_id", "distance")
         rows = own if rows is None else rows.unionByName(own)
-    rank = F.row_number().over(W.partitionBy("k").orderBy(F.desc("patch_count"), "cluster_id"))
-    return retrieval.image_cluster_summary(rows, ["k"]).withColumn("rank", rank).filter("rank <= 10").select("k", "cluster_id", "patch_count", "rank")
+    found = image_query.image_clusters(rows, _images(spark, sf), (GRID, GRID), image_index=3)
+    return found.index.select("k", "cluster_id", "patch_count", "rank")
 
 
 @query(""", s AS (SELECT vec_id // 25 AS image_index, (vec_id % 25)::INT AS patch_index, c AS centroid_id, list_inner_product(u.n, scn.n) AS raw FROM u, scn WHERE vec_id // 25 < 4)
@@ -700,3 +703,21 @@ def pca_2d(spark, sf):
 def tsne_2d(spark, sf):
     points, _ = projection.project_2d(_side(spark, sf, 0, 60), _side(spark, sf, 1, 60), "tsne")
     return points
+
+
+# Extension: a stream ---------------------------------------------------------------------------
+
+
+@query("SELECT cluster_id, count(*) AS cnt FROM ac GROUP BY cluster_id")
+def stream_cluster_counts(spark, sf):
+    arriving = (
+        spark.readStream.schema("vec_id long, embedding array<float>, label int").option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+        .select(F.col("embedding").cast("array<double>").alias("vec"))
+    )
+    name = f"counts_{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    checkpoint = f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="stream-")
+    running = streams.running_counts(arriving, _small(spark, sf), name, checkpoint)
+    running.processAllAvailable()
+    running.stop()
+    return spark.table(name)

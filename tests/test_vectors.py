@@ -211,3 +211,16 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["cluster_id"], r["cnt"]) for r in spark.table("counts_now").collect()} == {(0, 1), (1, 2)}
+
+
+def test_image_query(spark):
+    from lumenvec.plans.image_query import image_clusters, parse_k_values
+
+    images = spark.createDataFrame([(0, "a.jpg", "p/a.jpg")], "index long, file_name string, path string")
+    rows = spark.createDataFrame([(k, 0, p, p % k, 0.25) for k in (2, 3) for p in range(4)], "k int, image_index long, patch_index int, cluster_id int, distance double")
+    found = image_clusters(rows, images, (2, 2), name="x/a.jpg")
+    assert found.rows.count() == 8 and found.index.filter("k = 3 and rank = 1").first()["cluster_id"] == 0
+    assert parse_k_values("3, 2,3", rows) == [2, 3]
+    for bad in (dict(grid=(2, 3), image_index=0), dict(grid=(2, 2), name="b.jpg"), dict(grid=(2, 2), image_index=0, k_values="9")):
+        with pytest.raises(ValueError):
+            image_clusters(rows, images, **bad)
