@@ -150,9 +150,8 @@ def mean_vector(spark, sf):
 @query("""SELECT a.id AS i, b.id AS j, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) + 0.0 AS s
  FROM vis a, txt b WHERE a.id < 100 AND b.id < 100""")
 def cos_sim_matrix(spark, sf):
-    x, y = F.col("x"), F.col("y")
-    pairs = metrics._pairs(_side(spark, sf, 0, 100), _side(spark, sf, 1, 100))
-    return pairs.select("i", "j", r6(V.dot(x, y) / (V.norm(x) * V.norm(y))).alias("s"))
+    pairs = metrics.cos_sim_matrix(_side(spark, sf, 0, 100), _side(spark, sf, 1, 100))
+    return pairs.select("i", "j", r6("s").alias("s"))
 
 
 @query("""SELECT a.id AS i, b.id AS j, round(greatest(list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v), 0), 6) + 0.0 AS d

@@ -6,14 +6,17 @@ pairs are never written out or kept. Sampled sides are broadcast after a check o
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenvec.functions import vectors as V
 from lumenvec.operators import sampling
-from lumenvec.operators.blocks import small_matrix
+from lumenvec.operators.blocks import matrix, small_matrix
 from lumenvec.operators.cluster import KMeansVec, spread_centroids
 from lumenvec.operators.prepare import mean_vector, preprocessed
 from lumenvec.operators.solvers import gromov_wasserstein, hungarian
@@ -28,11 +31,43 @@ def _checked(points: DataFrame) -> DataFrame:
     return points
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs ``i, x, j, y`` of two samples; the right one is broadcast, its size checked."""
-    a = left.select(F.col("id").alias("i"), V.doubles("vec").alias("x"))
-    b = _checked(right).select(F.col("id").alias("j"), V.doubles("vec").alias("y"))
-    return a.crossJoin(F.broadcast(b))
+def pair_values(left: DataFrame, right: DataFrame, kind: str, upper: bool = False) -> DataFrame:
+    """``i, j, d`` for all pairs of two samples ``(id, vec)``, by block products.
+
+    kind: ``dot``; ``cosine_distance`` (one minus the product, clamped at 0: a cosine only for unit
+    vectors); ``squared`` (squared distance by expansion, clamped at 0). With ``upper`` only pairs
+    with i < j. The right side is sent along, its size checked.
+    """
+    ids, y = small_matrix(_checked(right), "id", "vec")
+    rows = left.select(F.col("id").cast("long").alias("id"), V.doubles("vec").alias("vec"))
+    widest = max(y.shape[1], rows.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0])
+    y = np.pad(y, ((0, 0), (0, widest - y.shape[1])))
+    sent = left.sparkSession.sparkContext.broadcast((ids.astype(np.int64), y))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y = sent.value
+        yy = (y * y).sum(1)
+        for batch in batches:
+            mine, x = batch.column(0).to_numpy(), matrix(batch.column(1), widest)
+            step = max(1, (1 << 20) // max(1, len(ids)))
+            for at in range(0, len(mine), step):
+                block, i = x[at : at + step], mine[at : at + step]
+                d = block @ y.T
+                if kind == "cosine_distance":
+                    d = np.maximum(1 - d, 0)
+                elif kind == "squared":
+                    d = np.maximum((block * block).sum(1)[:, None] + yy - 2 * d, 0)
+                i, j, d = np.repeat(i, len(ids)), np.tile(ids, len(block)), d.ravel()
+                if upper:
+                    i, j, d = _above(i, j, d)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(d)], ["i", "j", "d"])
+
+    return rows.mapInArrow(run, "i long, j long, d double")
+
+
+def _above(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keep = i < j
+    return i[keep], j[keep], d[keep]
 
 
 def all_pair_cosine_mean(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -47,18 +82,22 @@ def paired_cosine_mean(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.agg(F.avg(cosine).alias("same_index_cosine_mean"))
 
 
+def cos_sim_matrix(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``i, j, s``: cosines without a floor under the lengths; a zero vector's are null."""
+    bare = []
+    for side in (left, right):
+        rows = side.select("id", V.doubles("vec").alias("vec")).withColumn("_n", V.norm(F.col("vec")))
+        divided = F.transform("vec", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(float("nan")))
+        bare.append(rows.select("id", divided.alias("vec")))
+    return pair_values(*bare, "dot").select("i", "j", F.nanvl("d", F.lit(None).cast("double")).alias("s"))
+
+
 def squared_distances(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``i, j, d``: squared distances by expansion, clamped at 0."""
-    xx, yy = V.dot(F.col("x"), F.col("x")), V.dot(F.col("y"), F.col("y"))
-    a = left.select(F.col("id").alias("i"), V.doubles("vec").alias("x")).withColumn("xx", xx)
-    b = _checked(right).select(F.col("id").alias("j"), V.doubles("vec").alias("y")).withColumn("yy", yy)
-    d = F.greatest(F.col("xx") + F.col("yy") - 2 * V.dot(F.col("x"), F.col("y")), F.lit(0.0))
-    return a.crossJoin(F.broadcast(b)).select("i", "j", d.alias("d"))
+    return pair_values(left, right, "squared")
 
 
 def cosine_distances(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``i, j, d``: one minus the inner product, clamped at 0; a cosine only for unit vectors."""
-    return _pairs(left, right).select("i", "j", F.greatest(1 - V.dot(F.col("x"), F.col("y")), F.lit(0.0)).alias("d"))
+    return pair_values(left, right, "cosine_distance")
 
 
 def mmd_rbf(left: DataFrame, right: DataFrame, sigma: float | None = None) -> DataFrame:
@@ -134,7 +173,7 @@ def pairwise_spearman(vision: DataFrame, text: DataFrame) -> DataFrame:
     """
 
     def similarities(side: DataFrame, name: str) -> DataFrame:
-        return _pairs(side, side).filter("i < j").select("i", "j", V.dot(F.col("x"), F.col("y")).alias(name))
+        return pair_values(side, side, "dot", upper=True).withColumnRenamed("d", name)
 
     def ranks(column: str):
         return F.rank().over(W.orderBy(column)) + (F.count("*").over(W.partitionBy(column)) - 1) / 2
@@ -148,7 +187,7 @@ def pairwise_spearman(vision: DataFrame, text: DataFrame) -> DataFrame:
 def retrieval_top1_rank(left: DataFrame, right: DataFrame) -> DataFrame:
     """Share of points whose own partner is the most similar one, and the partner's average rank."""
     unit_l, unit_r = preprocessed(left, "l2"), preprocessed(right, "l2")
-    s = _pairs(unit_l, unit_r).select("i", "j", V.dot(F.col("x"), F.col("y")).alias("s"))
+    s = pair_values(unit_l, unit_r, "dot").withColumnRenamed("d", "s")
     own = F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).over(W.partitionBy("i"))
     ranks = s.withColumn("own", own).groupBy("i").agg((1 + F.count_if(F.col("s") > F.col("own"))).alias("r"))
     return ranks.agg(F.avg((F.col("r") == 1).cast("double")).alias("top1"), F.avg("r").alias("avg_rank"))
