@@ -32,9 +32,14 @@ MIN_FIXED, FIXED_SHARE = 5, 0.7
 
 def masked(line: Column) -> Column:
     """Tokens joined by single spaces, those with a digit as ``<*>``."""
-    plain = F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)
-    trimmed = F.trim(plain)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(trimmed, r"[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(trimmed)
+    spaced = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    # Most lines have neither a digit nor odd spaces, which one search tells.
+    plain = F.trim(line)
+    return F.when(line.rlike(r"[\x09-\x0D0-9]|  "), F.regexp_replace(spaced, r"[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(plain)
+
+
+def has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
 def _needed(tokens: Column) -> Column:
@@ -42,19 +47,20 @@ def _needed(tokens: Column) -> Column:
 
 
 def _distinct_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, k1, k2, n, leaf``: each masked line with a word once for each row of ``docs``."""
-    worded = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    """``doc_id, line, n, leaf``: each masked line with a word once for each row of ``docs``."""
+    worded = F.filter(F.split(F.col("text"), "\n"), has_word)
     return (
         docs.filter("doc_id is not null")
         .select("doc_id", F.explode(F.array_distinct(F.transform(worded, masked))).alias("line"))
-        .select(
-            "doc_id", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"),
-            (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).alias("n"),
-        )
+        .withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
         .withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", DEPTH)))
     )
 
 
+def _keyed(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
+
+
 #: Words of 64 bits of the filter below, which is broadcast: 4 MB with their places, at any size.
 FILTER_WORDS = 1 << 18
 
@@ -82,7 +88,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     """
     lines = _distinct_lines(docs)
     counted = checkpointed(
-        lines.groupBy("k1", "k2", "leaf", "n")
+        _keyed(lines).groupBy("k1", "k2", "leaf", "n")
         .agg(F.count("*").alias("rows"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     )
     often = (F.col("first") != F.col("last")) & (F.col("rows") >= _needed(F.col("n")))
@@ -96,7 +102,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     )
     leaves = checkpointed(leaves)
     open_lines = counted.filter(F.col("n") > DEPTH).join(leaves, F.col("leaf") == F.col("_leaf"), "left_semi")
-    text = _maybe_in(lines, leaves).select(F.col("doc_id").alias("_doc"), "line", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    text = _keyed(_maybe_in(lines, leaves)).select(F.col("doc_id").alias("_doc"), "line", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     # Each line is read once more, where its first document has it.
     read = (
         open_lines.join(text, (F.col("first") == F.col("_doc")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
@@ -137,7 +143,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     places = docs.select(
         F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"),
         F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("_at", "_line"),
-    ).filter(F.col("_line").rlike(r"[^\x20\x09-\x0D]")).withColumn("_line", masked(F.col("_line")))
+    ).filter(has_word(F.col("_line"))).withColumn("_line", masked(F.col("_line")))
     hits = (
         places.select("_id", "_text", "_at", F.xxhash64("_line").alias("_k1"), F.xxhash64(F.lit(1), "_line").alias("_k2"))
         .join(drop, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
@@ -158,6 +164,6 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without recurring lines, less the documents of which no word is left."""
     return (
         drop_lines(docs)
-        .filter((F.col("n_dropped_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+        .filter((F.col("n_dropped_lines") == 0) | has_word(F.col("text")))
         .drop("n_dropped_lines")
     )
