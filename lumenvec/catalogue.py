@@ -443,10 +443,10 @@ def shard_contiguous(spark, sf):
 
 
 @query(""", t AS (SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)
- SELECT 'COCO_' || lpad(conv_id::VARCHAR, 12, '0') || '.jpg' AS file_name, conv_id AS image_id, len(texts)::INT AS n_captions, md5(array_to_string(texts, chr(10))) AS digest FROM t""")
+ SELECT 'PIC_' || lpad(conv_id::VARCHAR, 12, '0') || '.jpg' AS file_name, conv_id AS image_id, len(texts)::INT AS n_captions, md5(array_to_string(texts, chr(10))) AS digest FROM t""")
 def captions_by_image(spark, sf):
     talk = spark.read.parquet(f"{sf}/conversations.parquet")
-    name = F.concat(F.lit("COCO_"), F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit(".jpg")).alias("file_name")
+    name = F.concat(F.lit("PIC_"), F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit(".jpg")).alias("file_name")
     names = talk.select("conv_id", name).distinct()
     # Half of the names are known images; the rest are read from the name.
     listed = names.filter(F.col("conv_id") % 2 == 0).select(F.col("conv_id").alias("id"), "file_name", F.lit(0).alias("pos"))

@@ -70,12 +70,12 @@ def test_preprocess(spark):
 
 
 def test_names(spark):
-    names = ["a/IMG_000000000042.jpg", "x12_y34.png", "none.png", "d7/img0.jpg", "COCO_000000000009", ".hidden5", "IMG_000000000042_v2.jpg"]
+    names = ["a/IMG_000000000042.jpg", "x12_y34.png", "none.png", "d7/img0.jpg", "PIC_000000000009", ".hidden5", "IMG_000000000042_v2.jpg"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", I.first_number(F.col("n")).alias("a"), I.last_number(F.col("n")).alias("b"))
     out = {r["n"]: (r["a"], r["b"]) for r in rows.collect()}
     assert out == {
         "a/IMG_000000000042.jpg": (42, 42), "x12_y34.png": (12, 34), "none.png": (None, None), "d7/img0.jpg": (0, 0),
-        "COCO_000000000009": (9, 9), ".hidden5": (5, 5), "IMG_000000000042_v2.jpg": (42, 2),
+        "PIC_000000000009": (9, 9), ".hidden5": (5, 5), "IMG_000000000042_v2.jpg": (42, 2),
     }
 
 
