@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm.common import SPACE_CLASS, words_of
+from lumenvec.llm.common import words_of
 
 #: Words of function in the corpus' languages (fixed values).
 STOP_WORDS = (
-    "the of and to a in is that for it as was with be by on not he his but at are this have from or had an they which one you were all their there been has when who will no if out so what up into than them can only other new some could time these two may then do first any my now such like our over me even most made after also did many before must through back where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three "
+    "the of and to a in is that for it as was with be by on not he his but at are this have from or had an they which one you were all "
+    "there been has when who will no if out so what up into than them can only other "
     "le la les de des du un une et que qui dans pour pas est sur au avec ce il par plus ne se sont ou mais nous vous leur "
     "der die das und ist von zu mit den ein eine nicht sich auch es im auf für dem wie bei "
     "el los las y en un una por con no para su al lo como más o pero sus se del"
@@ -33,8 +34,9 @@ MAX_REPEATED_PERCENT = 30
 WINDOW = 8
 
 
-def _repeated_words() -> Column:
-    """Words inside the windows whose hash is found twice or more; ``_h`` holds the windows' hashes.
+def _repeated_places() -> tuple[Column, Column]:
+    """Window hashes ``_h`` with their places, in the hash's order; and from these, as ``_o``, the
+    sorted places of windows found twice or more.
 
     The hash has 64 bits and is compared within one document only.
     """
@@ -61,7 +63,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     (distinct ones). Only built-in functions; no shuffle.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    ordered, places = _repeated_words()
+    ordered, places = _repeated_places()
     windows = F.when(
         F.col("n_words") >= WINDOW,
         F.transform(
