@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ def small_matrix(rows: DataFrame, key: str, vec: str) -> tuple[np.ndarray, np.nd
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     """A batch's vectors as rows, padded or cut to ``width``."""
-    lengths = np.asarray(pa.compute.list_value_length(column).fill_null(0))
+    lengths = np.asarray(pc.list_value_length(column).fill_null(0))
     flat = np.asarray(column.flatten(), float)
     if (lengths == width).all():
         return flat.reshape(-1, width)
@@ -132,7 +132,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", kee
         side = table.column("side").to_numpy()
         ids = table.column("id").to_numpy()
         vec = table.column("vec").combine_chunks()
-        width = int(pa.compute.max(pa.compute.list_value_length(vec)).as_py() or 0)
+        width = int(pc.max(pc.list_value_length(vec)).as_py() or 0)
         x = matrix(vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec, width)
         q, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         b = b[np.argsort(ids[b], kind="stable")]
