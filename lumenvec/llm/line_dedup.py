@@ -104,12 +104,12 @@ def recurring(docs: DataFrame) -> DataFrame:
     open_lines = counted.filter(F.col("n") > DEPTH).join(leaves, F.col("leaf") == F.col("_leaf"), "left_semi")
     text = _keyed(_maybe_in(lines, leaves)).select(F.col("doc_id").alias("_doc"), "line", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     # Each line is read once more, where its first document has it.
-    read = (
+    whole = checkpointed(
         open_lines.join(text, (F.col("first") == F.col("_doc")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
         .dropDuplicates(["k1", "k2"])
-        .select("k1", "k2", "leaf", "n", "rows", "first", "last", F.posexplode(F.split("line", " ")).alias("place", "token"))
+        .select("k1", "k2", "leaf", "n", "rows", "first", "last", "line")
     )
-    read = checkpointed(read)
+    read = whole.select("k1", "k2", "leaf", "n", "rows", "first", "last", F.posexplode(F.split("line", " ")).alias("place", "token"))
     support = read.groupBy("leaf", "n", "place", "token").agg(F.sum("rows").alias("support")).filter(
         (F.col("support") >= _needed(F.col("n"))) & (F.col("token") != ANY)
     ).select(F.col("leaf").alias("_leaf"), F.col("place").alias("_place"), F.col("token").alias("_token"), F.lit(1).alias("fixed"))
