@@ -109,18 +109,22 @@ def recurring(docs: DataFrame) -> DataFrame:
         .dropDuplicates(["k1", "k2"])
         .select("k1", "k2", "leaf", "n", "rows", "first", "last", "line")
     )
-    read = whole.select("k1", "k2", "leaf", "n", "rows", "first", "last", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    support = read.groupBy("leaf", "n", "place", "token").agg(F.sum("rows").alias("support")).filter(
-        (F.col("support") >= _needed(F.col("n"))) & (F.col("token") != ANY)
-    ).select(F.col("leaf").alias("_leaf"), F.col("place").alias("_place"), F.col("token").alias("_token"), F.lit(1).alias("fixed"))
-    rare = read.filter(~often)
+    # A token at its place in a leaf goes by one hash, of which the template's own is made.
+    token = F.explode(F.transform(F.split("line", " "), lambda t, k: F.when(t != ANY, F.xxhash64("leaf", k, t))))
+    support = (
+        whole.select("n", "rows", token.alias("_token")).filter("_token is not null")
+        .groupBy("_token").agg(F.sum("rows").alias("support"), F.min("n").alias("n"))
+        .filter(F.col("support") >= _needed(F.col("n"))).select("_token")
+    )
+    fixed = (
+        whole.filter(~often).select("k1", "k2", token.alias("token")).filter("token is not null")
+        .join(support, F.col("token") == F.col("_token"))
+        .groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+        .agg(F.count("*").alias("n_fixed"), F.bit_xor("token").alias("template"))
+    )
     templates = (
-        rare.join(support, (F.col("leaf") == F.col("_leaf")) & (F.col("place") == F.col("_place")) & (F.col("token") == F.col("_token")), "left")
-        .groupBy("k1", "k2", "leaf", "n", "first", "last")
-        .agg(
-            F.count("fixed").alias("n_fixed"),
-            F.bit_xor(F.when(F.col("fixed") == 1, F.xxhash64("place", "token"))).alias("template"),
-        )
+        whole.filter(~often).select("k1", "k2", "leaf", "n", "first", "last")
+        .join(fixed, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
         .filter((F.col("n_fixed") >= MIN_FIXED) & (F.col("n_fixed") >= FIXED_SHARE * F.col("n")))
     )
     # A rare line is in two documents at most, its first and its last: fewer than MIN_DOCS.
