@@ -6,7 +6,7 @@ pairs are never written out or kept. Sampled sides are broadcast after a check o
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenvec.functions import vectors as V
-from lumenvec.operators import sampling
+from lumenvec.operators import prepare, sampling
 from lumenvec.operators.blocks import matrix, small_matrix
 from lumenvec.operators.cluster import KMeansVec, spread_centroids
 from lumenvec.operators.prepare import mean_vector, preprocessed
@@ -100,31 +100,89 @@ def cosine_distances(left: DataFrame, right: DataFrame) -> DataFrame:
     return pair_values(left, right, "cosine_distance")
 
 
+def _fold_squared(left: DataFrame, y: np.ndarray, fold: Callable[[Iterable[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
+    """What ``fold`` makes, in each task, of its blocks of squared distances: no pair leaves the task."""
+    sent = left.sparkSession.sparkContext.broadcast(y)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = sent.value
+        yy = (y * y).sum(1)
+        step = max(1, (1 << 20) // max(1, len(y)))
+
+        def squares() -> Iterator[np.ndarray]:
+            for batch in batches:
+                whole = matrix(batch.column(0), y.shape[1])
+                for at in range(0, len(whole), step):
+                    x = whole[at : at + step]
+                    yield np.maximum((x * x).sum(1)[:, None] + yy - 2 * x @ y.T, 0).ravel()
+
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in fold(squares())], names)
+
+    return left.select(V.doubles("vec").alias("vec")).mapInArrow(run, schema)
+
+
+def _lower_median(sides: list[tuple[DataFrame, np.ndarray]], least: float) -> float | None:
+    """Exact lower median of the squared distances above ``least`` over all ``sides``.
+
+    The bit patterns of positive doubles are in the order of their values, so it is found 16 bits
+    at a time from counts of at most 65,536 bins.
+    """
+    prefix, rank = 0, None
+    for shift in (48, 32, 16, 0):
+
+        def count(blocks: Iterable[np.ndarray], shift: int = shift, prefix: int = prefix) -> list[np.ndarray]:
+            bins = np.zeros(1 << 16, np.int64)
+            for d in blocks:
+                bits = d[d > least].view(np.uint64)
+                if shift < 48:
+                    bits = bits[(bits >> np.uint64(shift + 16)) == prefix]
+                bins += np.bincount(((bits >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            seen = np.flatnonzero(bins)
+            return [seen, bins[seen]]
+
+        parts = None
+        for rows, y in sides:
+            part = _fold_squared(rows, y, count, "b long, n long")
+            parts = part if parts is None else parts.unionAll(part)
+        bins = sorted((row["b"], row["n"]) for row in parts.groupBy("b").agg(F.sum("n").alias("n")).collect())
+        if rank is None:
+            total = sum(n for _, n in bins)
+            if not total:
+                return None
+            rank = -(-total // 2)
+        for value, n in bins:
+            if rank <= n:
+                break
+            rank -= n
+        prefix = prefix << 16 | value
+    return float(np.array(prefix, np.uint64).view(np.float64))
+
+
 def mmd_rbf(left: DataFrame, right: DataFrame, sigma: float | None = None) -> DataFrame:
     """Squared kernel discrepancy with the diagonal kept, and the kernel's width.
 
     Width by default: root of half the lower median of the positive distances (self pairs and
     rounding noise below 1e-9 left out), at least 1e-6; 1 if there is none.
     """
-    blocks = {
-        "vv": squared_distances(left, left), "tt": squared_distances(right, right), "vt": squared_distances(left, right),
-    }
-    d = None
-    for name, block in blocks.items():
-        block = block.select(F.lit(name).alias("b"), "d")
-        d = block if d is None else d.unionAll(block)
+    left, right = prepare.padded_pair(left, right)
+    x, y = (small_matrix(_checked(d), "id", "vec")[1] for d in (left, right))
+    sides = [(left, x), (right, y), (left, y)]
     if sigma is None:
-        width = d.filter("d > 1e-9").agg(F.expr("percentile_disc(0.5) within group (order by d)").alias("m")).select(
-            F.coalesce(F.greatest(F.sqrt(F.col("m") / 2), F.lit(1e-6)), F.lit(1.0)).alias("sigma")
-        )
-    else:
-        width = left.sparkSession.range(1).select(F.lit(float(sigma)).alias("sigma"))
-    kernel = F.exp(-F.col("d") / (2 * F.col("sigma") * F.col("sigma")))
-    return (
-        d.crossJoin(F.broadcast(width)).groupBy("sigma")
-        .agg(*[F.avg(F.when(F.col("b") == n, kernel)).alias(n) for n in blocks])
-        .select((F.col("vv") + F.col("tt") - 2 * F.col("vt")).alias("mmd_rbf"), F.col("sigma").alias("mmd_sigma"))
-    )
+        median = _lower_median(sides, 1e-9)
+        sigma = 1.0 if median is None else max((median / 2) ** 0.5, 1e-6)
+
+    def kernel(blocks: Iterable[np.ndarray]) -> list[np.ndarray]:
+        total, n = 0.0, 0
+        for d in blocks:
+            total, n = total + float(np.exp(-d / (2 * sigma * sigma)).sum()), n + len(d)
+        return [np.array([total]), np.array([n])]
+
+    sums = None
+    for sign, (rows, other) in zip((1.0, 1.0, -2.0), sides, strict=True):
+        part = _fold_squared(rows, other, kernel, "total double, n long").agg((F.sum("total") / F.sum("n") * sign).alias("mean"))
+        sums = part if sums is None else sums.unionAll(part)
+    return sums.agg(F.sum("mean").alias("mmd_rbf"), F.lit(float(sigma)).alias("mmd_sigma"))
 
 
 def kth_radius(points: DataFrame, k: int) -> DataFrame:
