@@ -149,8 +149,10 @@ def _matches(cell: pa.Table, names: list[str], most: int, block_size: int = 1 <<
         for fp, other in zip(fps[1:], right[1:], strict=True):
             apart += np.bitwise_count(fp[left][:, None] ^ other[None, :])
         i, j = np.nonzero(apart <= most)
-        if len(i) > len(left):
-            labels.merge(left[i], cols[j])
+        # A row is a column too only in one cell of a grid: matches of rows with themselves don't count.
+        others = left[i] != cols[j]
+        if others.any():
+            labels.merge(left[i[others]], cols[j[others]])
     return star(node, labels.root)
 
 

@@ -80,6 +80,29 @@ def test_simhash_grid_of_a_hot_anchor(spark):
         assert got == want
 
 
+def test_simhash_grid_of_sparse_pairs(spark):
+    """At a crowded anchor with few links, those of rows and columns in different cells count too."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(100):  # the two meet at the anchor of their first block, zero, and at no other one
+        bits = rng.integers(0, 2, 128)
+        other = bits.copy()
+        for low, length in ((22, 21), (43, 21), (64, 22), (86, 21), (107, 21)):
+            other[low + rng.choice(length, 7, replace=False)] ^= 1
+        pairs += [bits, other]
+    bits = np.array(pairs)
+    bits[:, :22] = 0
+    fps = np.packbits(bits, axis=1, bitorder="little").view("<i8").tolist()
+    links = simhash.Labels(len(bits))
+    links.merge(*np.nonzero((bits[:, None] != bits).sum(2) <= 35))
+    want = {k: root for k, root in enumerate(links.root.tolist()) if root != k}
+    assert 100 <= len(want) < 150
+    table = spark.createDataFrame([(*f, k) for k, f in enumerate(fps)], "fp long, fp2 long, node long")
+    for cells in ({}, {"rows_per_cell": 8, "cols_per_cell": 16}):
+        got = {r["node"]: r["root"] for r in components(simhash.links(table, 35, halves=2, differ=0, **cells)).collect()}
+        assert got == want
+
+
 def test_quality_rules(spark, docs_of):
     docs = docs_of([*ODD, "The cat of the house and the dog. " * 2 + "It was in a tree by the road, and he saw it with his own eyes."])
     rows = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
