@@ -10,10 +10,13 @@ with. At an anchor, the fingerprints that own it are compared with all that reac
 Nulls and empty texts: no word, fingerprint zero, linked like any other. Rows with equal texts or
 repeated ids all appear in the result. A null id takes part through its fingerprint only.
 Anchors with very many fingerprints are cut into a grid of bounded cells; no pair is lost.
+
+The pipeline's near dedup goes by exact Jaccard similarity of shingles instead (``similar``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -50,19 +53,23 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: bytes | None, shingle: int, halves: int = 1) -> tuple[int, ...]:
-    """Majority bits of the shingles' hashes, 64 for each half; ASCII letters are lower-cased."""
+def shingles(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words, in order; ASCII letters are lower-cased."""
     words = (text or b"").translate(LOWER).split()
     if not words:
-        return (0,) * halves
+        return np.zeros(0, "<u8")
     joined, n = b" ".join(words), len(words)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = np.array([digest(joined, SEED)], "<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: n - shingle + 1].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+        return np.array([digest(joined, SEED)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: n - shingle + 1].tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def _fold(hashes: np.ndarray, halves: int) -> tuple[int, ...]:
+    if not len(hashes):
+        return (0,) * halves
     out = [_majority(hashes)]
     for _ in range(halves - 1):
         hashes = _again(hashes)
@@ -70,6 +77,11 @@ def fingerprint(text: bytes | None, shingle: int, halves: int = 1) -> tuple[int,
     return tuple(out)
 
 
+def fingerprint(text: bytes | None, shingle: int, halves: int = 1) -> tuple[int, ...]:
+    """Majority bits of the shingles' hashes, 64 for each half."""
+    return _fold(shingles(text, shingle), halves)
+
+
 def _names(halves: int) -> list[str]:
     return ["fp", *[f"fp{k}" for k in range(2, halves + 1)]]
 
@@ -237,12 +249,135 @@ def small_cells(df: DataFrame) -> DataFrame:
     return df
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, halves: int = 1, differ: int | None = None) -> DataFrame:
+def bag(hashes: np.ndarray) -> np.ndarray:
+    """Distinct values for the shingles, sorted: the k-th occurrence of a hash has its own value."""
+    hashes = np.sort(hashes)
+    at = np.arange(len(hashes))
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], hashes[1:] != hashes[:-1]]), at, 0)) if len(hashes) else at
+    times = (at - first).astype(np.uint64)
+    return np.sort(np.where(times > 0, _again(hashes ^ _again(times)), hashes).view(np.int64))
+
+
+def bags(docs: DataFrame, shingle: int = 5, halves: int = 2) -> DataFrame:
+    """``doc_id``, the fingerprint, and ``bag``, the shingles of each row of ``docs``."""
+    names = _names(halves)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingles(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            fps = np.array([_fold(h, halves) for h in hashes], np.uint64).reshape(-1, halves).view(np.int64)
+            whole = pa.array([bag(h) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(halves)], whole], ["doc_id", *names, "bag"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow_map(rows, run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", bag array<long>")
+
+
+#: Counters of the sketch that puts common shingles last; it has a bearing on cost only.
+SKETCH = 1 << 17
+
+
+def _slots(bag: np.ndarray) -> np.ndarray:
+    return (_again(bag.view(np.uint64)) & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+#: Words of 64 bits of the filter that picks the bags to compare; false hits only cost work.
+FILTER_WORDS = 1 << 18
+
+
+def similar(whole: DataFrame, least: float) -> DataFrame:
+    """Edges ``a, b`` that connect the keys of ``whole (key, bag)`` whose bags have a Jaccard similarity of ``least`` or more.
+
+    In one order of all shingles, rarest first, two such bags share one of their first
+    n - ceil(least * n) + 1: no pair is missed. The members of each such shingle are first compared
+    with one of them, which connects dense groups; then all pairs that are not connected yet.
+    Keys may repeat, with equal bags.
+    """
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            seen += np.bincount(_slots(batch.column(0).flatten().to_numpy()), minlength=SKETCH)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "seen"])
+
+    counts = np.zeros(SKETCH, np.int64)
+    sketch = arrow_map(whole.select("bag"), count, "slot long, seen long").groupBy("slot").agg(F.sum("seen").alias("seen")).toArrow()
+    counts[sketch["slot"].to_numpy()] = sketch["seen"].to_numpy()
+    shared_counts = whole.sparkSession.sparkContext.broadcast(counts)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, known = shared_counts.value, set()
+        for batch in batches:
+            keys, sizes, out = batch.column(0).to_numpy(), [], []
+            for key, values in zip(keys.tolist(), batch.column(1), strict=True):
+                values = values.values.to_numpy()
+                n = len(values)
+                # Copies of a text would make its shingles hot.
+                first = np.lexsort((values, rare[_slots(values)]))[: n - math.ceil(least * n - 1e-9) + 1] if key not in known else []
+                known.add(key)
+                out.append(values[first] if len(first) else values[:0])
+                sizes.append((len(first), n))
+            taken, total = np.array(sizes, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([*out, np.zeros(0, np.int64)])), pa.array(np.repeat(keys, taken)), pa.array(np.repeat(total, taken))], ["h", "key", "n"]
+            )
+
+    prefixes = arrow_map(whole.filter(F.size("bag") > 0).select("key", "bag"), deal, "h long, key long, n long")
+    lead = prefixes.groupBy("h").agg(F.min("key").alias("lead"), F.max("key").alias("_last")).filter("lead <> _last").drop("_last")
+    met = checkpointed(prefixes.join(lead, "h").distinct())
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs)
+        key = F.explode(F.array("a", "b")).alias("key")
+        place, bit = F.pmod(F.shiftright("key", 6), F.lit(FILTER_WORDS)), F.pmod("key", F.lit(64)).cast("int")
+        bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")
+        found = pairs.select(key).groupBy(place.alias("place")).agg(bits).toArrow()
+        wanted = np.zeros(FILTER_WORDS, np.int64)
+        wanted[found["place"].to_numpy()] = found["bits"].to_numpy()
+        wanted = whole.sparkSession.sparkContext.broadcast(wanted)
+
+        def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                yield batch.filter(pa.array((wanted.value[(keys >> 6) % FILTER_WORDS] >> keys % 64 & 1).astype(bool)))
+
+        once = arrow_map(whole.select("key", "bag"), pick, "key long, bag array<long>").groupBy("key").agg(F.first("bag").alias("bag"))
+        a = once.select(F.col("key").alias("a"), F.col("bag").alias("_a"))
+        b = once.select(F.col("key").alias("b"), F.col("bag").alias("_b"))
+        common = F.size(F.array_intersect("_a", "_b"))
+        return pairs.join(a, "a").join(b, "b").filter(common >= F.lit(least) * (F.size("_a") + F.size("_b") - common)).select("a", "b")
+
+    # The lead's size is not known here; it is compared when confirmed.
+    near = checkpointed(confirmed(met.filter("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()))
+    roots = components(near).select(F.col("node").alias("key"), "root")
+    members = checkpointed(met.join(roots, "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("root")))
+    left = members.select("h", F.col("key").alias("a"), F.col("n").alias("_n"), F.col("root").alias("_root"))
+    rest = (
+        left.join(members.select("h", F.col("key").alias("b"), "n", "root"), "h")
+        .filter("a < b AND _root <> root").filter(F.least("n", "_n") >= F.lit(least) * F.greatest("n", "_n"))
+        .select("a", "b").distinct()
+    )
+    return near.unionByName(confirmed(rest))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, halves: int = 1, differ: int | None = None, least: float | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` of each row of ``docs (doc_id, text)`` (and ``fp2``).
 
-    ``component_id`` is the smallest id that links of at most ``most`` differing bits reach.
+    With one half ``component_id`` is the smallest id that links of at most ``most`` differing bits
+    reach. With two, or with ``least``, links are pairs of texts whose shingles have a Jaccard
+    similarity of ``least`` (by default ``SIMILAR``), whatever bits differ.
     """
     names = _names(halves)
+    if least is None and halves > 1:
+        least = SIMILAR
+    if least is not None:
+        whole = checkpointed(bags(docs, shingle, halves).withColumn("key", F.xxhash64("bag")))
+        rows = whole.drop("bag")
+        found = components(similar(whole.filter("doc_id is not null"), least)).select(F.col("node").alias("key"), "root")
+        classes = rows.groupBy("key").agg(F.min("doc_id").alias("node")).join(found, "key", "left").select("key", "node", F.coalesce("root", "key").alias("root"))
+        ids = classes.groupBy("root").agg(F.min("node").alias("component_id"))
+        return rows.join(classes.join(ids, "root").select("key", "component_id"), "key").select("doc_id", *names, "component_id")
     fps = checkpointed(fingerprints(docs, shingle, halves))
     once = checkpointed(fps.groupBy(*names).agg(F.min("doc_id").alias("node")))
     found = components(links(once.filter("node is not null"), most, halves, differ))
@@ -250,19 +385,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, halves: in
     return fps.join(classes, names).select("doc_id", *names, "component_id")
 
 
-#: For texts of equal five-word shingles in 80 %: they differ in 21 bits of 128 on average, texts
-#: that share nothing in 64 (standard deviation 6).
+#: Jaccard similarity of near duplicates in the pipeline, over five-word shingles.
+SIMILAR = 0.8
+#: Limits for fingerprints of 128 bits; with ``least`` they decide nothing.
 SIMILAR_BITS, SIMILAR_DIFFER = 28, 2
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, most: int = SIMILAR_BITS, halves: int = 2, differ: int = SIMILAR_DIFFER) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near duplicates.
 
-    By default on fingerprints of two halves, 128 bits: pairs that differ in at most 16 bits are
-    sure to meet, those up to ``most`` nearly always. The row with the smallest id stays. Rows
-    that repeat its id stay with it, as do rows without id.
+    Links are pairs with a Jaccard similarity of ``least`` or more, all of them. The row with the
+    smallest id stays. Rows that repeat its id stay with it, as do rows without id.
     """
-    found = near_duplicates(docs, shingle, most, halves, differ)
+    found = near_duplicates(docs, shingle, halves=2, least=least)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     return plain.join(kept, F.col("_id") == F.col("_kept"), "left").filter("_kept is not null or _id is null").select("_row.*")

@@ -103,6 +103,27 @@ def test_simhash_grid_of_sparse_pairs(spark):
         assert got == want
 
 
+def test_keep_one_goes_by_jaccard(spark, docs_of):
+    """Every pair of five-word shingles at 0.8 or more is linked, none below."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 10**9, 120)]
+        other = list(words)
+        for at in rng.choice(120, int(rng.integers(1, 8)), replace=False):
+            other[at] = "other"
+        texts += [" ".join(words), " ".join(other)]
+    texts += ["again and again we meet here " * 5, "again and again we meet here " * 6, None, ""]
+    sets = [simhash.bag(simhash.shingles((t or "").encode(), 5)).tolist() for t in texts]
+    common = np.array([[len({*a} & {*b}) / max(1, len({*a} | {*b})) for b in sets] for a in sets])
+    labels = simhash.Labels(len(texts))
+    labels.merge(*np.nonzero(common >= 0.8))
+    labels.merge(np.array([122]), np.array([123]))
+    near = {k for k, root in enumerate(labels.root.tolist()) if root == k}
+    assert ((common > 0.6) & (common < 0.8)).any() and len(near) < len(texts) - 10
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(texts)).collect()} == near
+
+
 def test_quality_rules(spark, docs_of):
     docs = docs_of([*ODD, "The cat of the house and the dog. " * 2 + "It was in a tree by the road, and he saw it with his own eyes."])
     rows = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
