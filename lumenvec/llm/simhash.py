@@ -5,18 +5,21 @@ most d differing bits differ in at most t = d div 3 bits of one block. The ancho
 the words of the perfect binary Golay code of length 23 (the block padded with zeros): every block
 lies within 3 bits of exactly one anchor, its own. A fingerprint is sent to every anchor within
 3 + t bits; so it meets, at the other's own anchor, each fingerprint that it must be compared
-with. At an anchor, the fingerprints that own it are compared with all that reached it.
+with. At an anchor, the fingerprints that own it are compared with all that reached it. A block has
+4,096 anchors; very large tables meet at those of pairs of blocks, of which there are 16 million.
 
 Nulls and empty texts: no word, fingerprint zero, linked like any other. Rows with equal texts or
 repeated ids all appear in the result. A null id takes part through its fingerprint only.
 Anchors with very many fingerprints are cut into a grid of bounded cells; no pair is lost.
 
-The pipeline's near dedup goes by exact Jaccard similarity of shingles instead (``similar``).
+Near duplicates of five-word shingles (``similar_documents``, ``keep_one``) meet by longer
+fingerprints at the same anchors, where all are compared with all, and are linked by the exact
+Jaccard similarity of their shingles. A pair above the limit is missed only if it meets nowhere or
+its fingerprints differ by far more than expected (README has the measured share).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.llm.common import Labels, arrow_map, by_key, checkpointed, components, star
+from lumenvec.llm.common import Labels, arrow_map, by_key, checkpointed, components, small_batches, star
 
 SEED = 42
 BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -86,20 +89,34 @@ def _names(halves: int) -> list[str]:
     return ["fp", *[f"fp{k}" for k in range(2, halves + 1)]]
 
 
+def bag(hashes: np.ndarray) -> np.ndarray:
+    """Distinct values for the shingles, sorted: the k-th occurrence of a hash has its own value."""
+    hashes = np.sort(hashes)
+    at = np.arange(len(hashes))
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], hashes[1:] != hashes[:-1]]), at, 0)) if len(hashes) else at
+    times = (at - first).astype(np.uint64)
+    return np.sort(np.where(times > 0, _again(hashes ^ _again(times)), hashes).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, halves: int = 1) -> DataFrame:
-    """``doc_id, fp`` (signed 64-bit; ``fp2`` with two halves) of each row of ``docs``.
+    """``doc_id, fp`` (signed 64-bit; ``fp2`` and so on with more halves), ``key`` and ``n`` of each row of ``docs``.
 
-    Whole texts, one pass, no shuffle.
+    ``key`` is a hash of the shingles as a multiset, and ``n`` their number. Whole texts, one pass,
+    no shuffle.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t, shingle, halves) for t in texts], np.uint64).reshape(-1, halves).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(halves)]], ["doc_id", *_names(halves)])
+            hashes = [shingles(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            fps = np.array([_fold(h, halves) for h in hashes], np.uint64).reshape(-1, halves).view(np.int64)
+            keys = np.array([_again(h).sum(dtype=np.uint64) for h in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(fps[:, k]) for k in range(halves)], pa.array(keys), pa.array([len(h) for h in hashes], pa.int64())],
+                ["doc_id", *_names(halves), "key", "n"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, " + ", ".join(f"{n} long" for n in _names(halves)))
+    return arrow_map(rows, run, "doc_id long, " + ", ".join(f"{n} long" for n in _names(halves)) + ", key long, n long")
 
 
 @lru_cache
@@ -126,278 +143,343 @@ def _code(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.array(of_bit), np.array(patterns)[order], np.concatenate([[0], np.cumsum(counts)[:-1]]), counts
 
 
-def anchors(fps: list[np.ndarray], reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each block of each half: index of the fingerprint, anchor, and whether it is its own."""
+def _block_anchors(fp: np.ndarray, low: int, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many anchors of a block each fingerprint reaches; these, and the bits beyond the covering radius to each."""
     of_bit, patterns, first, counts = _code(reach)
-    for block, (fp, (low, length)) in enumerate((fp, b) for fp in fps for b in BLOCKS):
-        value = ((fp >> np.uint64(low)) & np.uint64((1 << length) - 1)).astype(np.int64)
-        syndrome = np.zeros(len(fp), np.int64)
-        for bit in range(length):
-            syndrome ^= np.where(value >> bit & 1, of_bit[bit], 0)
-        n = counts[syndrome]
-        index = np.repeat(np.arange(len(fp)), n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pattern = patterns[np.repeat(first[syndrome], n) + within]
-        own = np.bitwise_count(pattern.astype(np.uint64)) <= RADIUS
-        # The upper 12 bits of a code word determine it.
-        yield index, (block << 12) + ((np.repeat(value, n) ^ pattern) >> 11), own
+    value = ((fp >> np.uint64(low)) & np.uint64((1 << length) - 1)).astype(np.int64)
+    syndrome = np.zeros(len(fp), np.int64)
+    for bit in range(length):
+        syndrome ^= np.where(value >> bit & 1, of_bit[bit], 0)
+    n = counts[syndrome]
+    pattern = patterns[np.repeat(first[syndrome], n) + _within(n)]
+    excess = np.maximum(np.bitwise_count(pattern.astype(np.uint64)).astype(np.int64) - RADIUS, 0)
+    # The upper 12 bits of a code word determine it.
+    return n, (np.repeat(value, n) ^ pattern) >> 11, excess
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of ``counts``, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def anchors(fps: list[np.ndarray], differ: int, paired: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index of the fingerprint, anchor, and whether it is its own, for each block or pair of blocks of a half.
+
+    A fingerprint reaches the anchors within the covering radius plus ``differ`` bits; of a pair of
+    blocks, those at which both blocks' bits beyond the radius add up to at most ``differ``.
+    """
+    blocks = [(fp, *b) for fp in fps for b in BLOCKS]
+    if not paired:
+        for number, (fp, low, length) in enumerate(blocks):
+            n, anchor, excess = _block_anchors(fp, low, length, RADIUS + differ)
+            yield np.repeat(np.arange(len(fp)), n), (number << 24) + anchor, excess == 0
+        return
+    for number, (left, right) in enumerate(p for k in range(0, len(blocks), len(BLOCKS)) for p in combinations(blocks[k : k + len(BLOCKS)], 2)):
+        n, a, ea = _block_anchors(*left, RADIUS + differ)
+        m, b, eb = _block_anchors(*right, RADIUS + differ)
+        index = np.repeat(np.arange(len(n)), n)  # of each left anchor
+        times = m[index]
+        other = np.repeat((np.cumsum(m) - m)[index], times) + _within(times)
+        mine = np.repeat(np.arange(len(a)), times)
+        excess = ea[mine] + eb[other]
+        near = excess <= differ
+        yield index[mine[near]], ((len(blocks) + number) << 24) + (a[mine[near]] << 12) + b[other[near]], excess[near] == 0
 
 
 def _mix(fp: np.ndarray) -> np.ndarray:
     return (fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
 
 
-def _matches(cell: pa.Table, names: list[str], most: int, block_size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    fps = [cell.column(n).to_numpy().view(np.uint64) for n in names]
-    node = cell.column("node").to_numpy()
-    role = cell.column("role").to_numpy()
-    rows, cols = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-    labels = Labels(len(node))
-    step = max(1, block_size // max(1, len(cols)))
-    right = [fp[cols] for fp in fps]
+def _close(fps: np.ndarray, n: np.ndarray | None, rows: np.ndarray, cols: np.ndarray, most: int, least: float, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places of ``rows`` and ``cols`` with at most ``most`` differing bits, by blocks.
+
+    Sizes ``n`` too unlike for a similarity of ``least`` are left out. No place meets itself; where
+    rows are columns too each pair comes once.
+    """
+    same = len(rows) == len(cols) and np.array_equal(rows, cols)
+    step = max(1, block // max(1, len(cols)))
+    words = min(2, fps.shape[1])
     for k in range(0, len(rows), step):
-        left = rows[k : k + step]
-        apart = np.bitwise_count(fps[0][left][:, None] ^ right[0][None, :])
-        for fp, other in zip(fps[1:], right[1:], strict=True):
-            apart += np.bitwise_count(fp[left][:, None] ^ other[None, :])
+        left, right = rows[k : k + step], cols[k:] if same else cols
+        apart = np.bitwise_count(fps[left, 0][:, None] ^ fps[right, 0])
+        for w in range(1, words):
+            apart += np.bitwise_count(fps[left, w][:, None] ^ fps[right, w])
         i, j = np.nonzero(apart <= most)
-        # A row is a column too only in one cell of a grid: matches of rows with themselves don't count.
-        others = left[i] != cols[j]
-        if others.any():
-            labels.merge(left[i[others]], cols[j[others]])
-    return star(node, labels.root)
+        keep = i < j if same else left[i] != right[j]
+        i, j = left[i[keep]], right[j[keep]]
+        if fps.shape[1] > words:
+            near = np.bitwise_count(fps[i] ^ fps[j]).sum(1) <= most
+            i, j = i[near], j[near]
+        if n is not None and len(i):
+            like = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
+            i, j = i[like], j[like]
+        if len(i):
+            yield i, j
+
+
+#: From so many fingerprints on, they meet at anchors of pairs of blocks: more copies, far fewer comparisons.
+PAIRED_FROM = 1 << 29
+
+
+class Meeting:
+    """How fingerprints meet at anchors: the deal, as rows of one anchor's (or its cell's) records in one value."""
+
+    def __init__(self, halves: int, differ: int, paired: bool, mutual: bool, extra: tuple[str, ...], rows_per_cell: int, cols_per_cell: int):
+        self.halves, self.differ, self.paired, self.mutual, self.extra = halves, differ, paired, mutual, extra
+        self.rows_per_cell, self.cols_per_cell = rows_per_cell, cols_per_cell
+        self.record = np.dtype([("fp", "<u8", (halves,)), ("node", "<i8"), *[(x, "<i8") for x in extra], ("role", "i1")])
+
+    def _of(self, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(batch.num_rows, self.record)
+        for k in range(self.halves):
+            out["fp"][:, k] = batch.column(k).to_numpy().view(np.uint64)
+        for k, name in enumerate(("node", *self.extra)):
+            out[name] = batch.column(self.halves + k).to_numpy()
+        return out
+
+    def _gathered(self, batches: Iterable[pa.RecordBatch], most: int = 16_384) -> Iterator[np.ndarray]:
+        held, rows = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                held.append(self._of(batch.slice(at, most)))
+                rows += len(held[-1])
+                if rows >= most // (8 if self.paired else 1):
+                    yield np.concatenate(held)
+                    held, rows = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    def _anchors(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for index, anchor, own in anchors([x["fp"][:, k] for k in range(self.halves)], self.differ, self.paired):
+            yield index, anchor, np.ones(len(own), bool) if self.mutual else own
+
+    def count(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in self._gathered(batches, 1 << 17):
+            for _, anchor, own in self._anchors(x):
+                at, place = np.unique(anchor, return_inverse=True)
+                total, owned = np.bincount(place), np.bincount(place, own)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(owned.astype(np.int64)), pa.array(total)], ["anchor", "own", "total"])
+
+    def grid(self, fps: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Crowded anchors, and the rows and columns of cells that each is cut into.
+
+        An anchor is crowded if own times total is above that of one cell; single blocks have at most
+        4,096 anchors each, and pairs of blocks are so many that only skew makes one crowded.
+        """
+        found = (
+            fps.mapInArrow(self.count, "anchor long, own long, total long")
+            .groupBy("anchor").agg(F.sum("own").alias("own"), F.sum("total").alias("total"))
+            .filter(F.col("own") * F.col("total") > self.rows_per_cell * self.cols_per_cell)
+            .toArrow().sort_by("anchor")
+        )
+        own, total = found["own"].to_numpy(), found["total"].to_numpy()
+        return found["anchor"].to_numpy(), -(-own // self.rows_per_cell), -(-total // self.cols_per_cell)
+
+    def deal(self, grid: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        hot, tall, wide = grid
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in self._gathered(batches):
+                mixed = _mix(x["fp"][:, 0]).astype(np.int64)
+                for index, anchor, own in self._anchors(x):
+                    p = q = np.ones(len(anchor), np.int64)
+                    if len(hot):
+                        at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+                        crowded = hot[at] == anchor
+                        p, q = np.where(crowded, tall[at], 1), np.where(crowded, wide[at], 1)
+                    i, j = mixed[index] % p, mixed[index] // p % q
+                    # Each is a column in all cells of its column; those that own the anchor are rows in all cells of their row.
+                    down, row = np.repeat(np.arange(len(anchor)), p), _within(p)
+                    across, column = np.repeat(np.flatnonzero(own), q[own]), _within(q[own])
+                    apart = column != j[across]
+                    across, column = across[apart], column[apart]
+                    entry = np.concatenate([down, across])
+                    cell_i, cell_j = np.concatenate([row, i[across]]), np.concatenate([j[down], column])
+                    role = np.concatenate([np.where(own[down] & (i[down] == row), 3, 2), np.ones(len(across), np.int64)])
+                    order = np.lexsort((cell_j, cell_i, anchor[entry]))
+                    entry, cell_i, cell_j = entry[order], cell_i[order], cell_j[order]
+                    records = x[index[entry]]
+                    records["role"] = role[order]
+                    a = anchor[entry]
+                    starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (cell_i[1:] != cell_i[:-1]) | (cell_j[1:] != cell_j[:-1])])) if len(a) else np.zeros(0, np.int64)
+                    offsets = (np.concatenate([starts, [len(a)]]) * self.record.itemsize).astype(np.int32)
+                    blob = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(records.tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a[starts]), pa.array(cell_i[starts].astype(np.int32)), pa.array(cell_j[starts].astype(np.int32)), blob], ["anchor", "i", "j", "records"]
+                    )
+
+        return run
+
+    def cells(self, fps: DataFrame) -> DataFrame:
+        """``anchor, i, j, records``, sorted within its partitions."""
+        slim = small_batches(fps.select(*_names(self.halves), "node", *self.extra), 20_000)
+        return slim.mapInArrow(self.deal(self.grid(slim)), "anchor long, i int, j int, records binary").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+
+    def read(self, batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """The records of each cell."""
+        for _, cell in by_key(batches, ["anchor", "i", "j"]):
+            yield np.frombuffer(b"".join(cell["records"].to_pylist()), self.record)
 
 
-def links(fps: DataFrame, most: int = 4, halves: int = 1, differ: int | None = None, rows_per_cell: int = 4096, cols_per_cell: int = 32768) -> DataFrame:
-    """Edges ``a, b`` that connect all of ``fps (fp, node)`` with at most ``most`` differing bits.
+def _rows_cols(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(x["role"] & 1), np.flatnonzero(x["role"] & 2)
 
-    ``fps`` holds each fingerprint once. Fingerprints meet if they differ in at most ``differ`` bits
-    of some block, by default in as many as one block of a pair surely allows. Of the links found
-    at one anchor a spanning star is returned: which texts are connected is whole, pairs are not
-    all spelt out.
-    """
-    names = _names(halves)
-    reach = RADIUS + (most // (halves * len(BLOCKS)) if differ is None else differ)
-    n_anchors = halves * len(BLOCKS) << 12
 
-    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [batch.column(k).to_numpy().view(np.uint64) for k in range(halves)]
+def links(fps: DataFrame, most: int = 4, halves: int = 1, differ: int | None = None, paired: bool | None = None, rows_per_cell: int = 4096, cols_per_cell: int = 32768) -> DataFrame:
+    """Edges ``a, b`` that connect all of ``fps (fp, node)`` with at most ``most`` differing bits.
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = np.zeros(n_anchors, np.int64), np.zeros(n_anchors, np.int64)
-        for batch in batches:
-            for _, anchor, mine in anchors(columns(batch), reach):
-                total += np.bincount(anchor, minlength=n_anchors)
-                own += np.bincount(anchor[mine], minlength=n_anchors)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(own[seen]), pa.array(total[seen])], ["anchor", "own", "total"])
-
-    # At most 3 * 4096 anchors to a half exist, whatever the input.
-    sizes = (
-        arrow_map(fps.select(*names), count, "anchor long, own long, total long")
-        .groupBy("anchor").agg(F.sum("own").alias("own"), F.sum("total").alias("total"))
-        .filter(F.col("own") * F.col("total") > rows_per_cell * cols_per_cell)
-        .collect()
-    )
-    grid = {r["anchor"]: (-(-r["own"] // rows_per_cell), -(-r["total"] // cols_per_cell)) for r in sizes}
-
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.array(sorted(grid), np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                yield from dealt(whole.slice(at, 4096), hot)
-
-    def dealt(batch: pa.RecordBatch, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fps, node = columns(batch), batch.column(halves).to_numpy()
-        for index, anchor, mine in anchors(fps, reach):
-            parts = [(index, anchor, np.zeros((2, len(index)), np.int64), np.where(mine, 3, 2))]
-            if len(hot) and (split := np.isin(anchor, hot)).any():
-                parts = [(index[~split], anchor[~split], np.zeros((2, (~split).sum()), np.int64), np.where(mine[~split], 3, 2))]
-                for a in np.unique(anchor[split]):
-                    p, q = grid[int(a)]
-                    at, own = index[anchor == a], mine[anchor == a]
-                    mixed = _mix(fps[0][at]).astype(np.int64)
-                    i, j = mixed % p, mixed // p % q
-                    for column in range(q):  # an owner is a row in all cells of its row
-                        x = own & (j != column)
-                        parts.append((at[x], np.full(x.sum(), a), np.stack([i[x], np.full(x.sum(), column)]), np.full(x.sum(), 1)))
-                    for row in range(p):  # every one is a column in all cells of its column
-                        parts.append((at, np.full(len(at), a), np.stack([np.full(len(at), row), j]), np.where(own & (i == row), 3, 2)))
-            for x, a, ij, role in parts:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(a.astype(np.int32)), pa.array(ij[0].astype(np.int32)), pa.array(ij[1].astype(np.int32)),
-                        *[pa.array(fp[x].view(np.int64)) for fp in fps], pa.array(node[x]), pa.array(role.astype(np.int8)),
-                    ],
-                    ["anchor", "i", "j", *names, "node", "role"],
-                )
+    ``fps`` holds each fingerprint once. By default fingerprints meet if they differ in as many bits
+    of one block (or pair of blocks, if ``paired``) as some block of each pair surely does. Of the
+    links found at one anchor a spanning star is returned: which texts are connected is whole, pairs
+    are not all spelt out. ``paired`` None decides by the number of fingerprints; the links are the
+    same.
+    """
+    if paired is None:
+        paired = fps.count() >= PAIRED_FROM
+    if differ is None:
+        differ = most // halves * 2 // len(BLOCKS) if paired else most // (halves * len(BLOCKS))
+    meeting = Meeting(halves, differ, paired, False, (), rows_per_cell, cols_per_cell)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cell in by_key(batches, ["anchor", "i", "j"]):
-            a, b = _matches(cell, names, most)
+        for x in meeting.read(batches):
+            labels = Labels(len(x))
+            for i, j in _close(x["fp"], None, *_rows_cols(x), most, 0):
+                labels.merge(i, j)
+            a, b = star(x["node"], labels.root)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    of_fps = ", ".join(f"{n} long" for n in names)
-    cells = arrow_map(fps.select(*names, "node"), deal, f"anchor int, i int, j int, {of_fps}, node long, role tinyint")
-    cells = cells.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    return small_cells(cells).mapInArrow(compare, "a long, b long").distinct()
-
+    return meeting.cells(fps).mapInArrow(compare, "a long, b long").distinct()
 
-def small_cells(df: DataFrame) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return df
 
+#: Jaccard similarity of near duplicates, over five-word shingles.
+SIMILAR = 0.8
+#: Fingerprints for it: 256 bits in 12 blocks. Pairs that meet at an anchor within one bit more than the covering
+#: radius of both, and differ in at most so many bits, are compared by their shingles.
+SIMILAR_HALVES, SIMILAR_DIFFER, SIMILAR_BITS = 4, 1, 56
+#: Of larger groups at one anchor only a star is compared first.
+SMALL_GROUP = 24
 
-def bag(hashes: np.ndarray) -> np.ndarray:
-    """Distinct values for the shingles, sorted: the k-th occurrence of a hash has its own value."""
-    hashes = np.sort(hashes)
-    at = np.arange(len(hashes))
-    first = np.maximum.accumulate(np.where(np.concatenate([[True], hashes[1:] != hashes[:-1]]), at, 0)) if len(hashes) else at
-    times = (at - first).astype(np.uint64)
-    return np.sort(np.where(times > 0, _again(hashes ^ _again(times)), hashes).view(np.int64))
-
-
-def bags(docs: DataFrame, shingle: int = 5, halves: int = 2) -> DataFrame:
-    """``doc_id``, the fingerprint, and ``bag``, the shingles of each row of ``docs``."""
-    names = _names(halves)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [shingles(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            fps = np.array([_fold(h, halves) for h in hashes], np.uint64).reshape(-1, halves).view(np.int64)
-            whole = pa.array([bag(h) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(halves)], whole], ["doc_id", *names, "bag"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", bag array<long>")
 
+def candidates(fps: DataFrame, least: float, labelled: bool, halves: int = SIMILAR_HALVES, most: int = SIMILAR_BITS, differ: int = SIMILAR_DIFFER) -> DataFrame:
+    """Pairs ``a, b`` of ``fps (fp, fp2, ..., node, n)`` that may be similar, for an exact comparison.
 
-#: Counters of the sketch that puts common shingles last; it has a bearing on cost only.
-SKETCH = 1 << 17
+    In a group of more than SMALL_GROUP at an anchor only pairs with the member closest to the
+    group's majority bits; each member then also comes as a pair with itself, to say that its group
+    isn't done. If ``labelled``, ``fps`` has a ``label``, and all pairs of unequal labels are
+    returned, none of equal ones.
+    """
+    meeting = Meeting(halves, differ, False, True, ("n", "label") if labelled else ("n",), 8192, 16384)
 
+    def batch(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        a, b = x["node"][i], x["node"][j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-def _slots(bag: np.ndarray) -> np.ndarray:
-    return (_again(bag.view(np.uint64)) & np.uint64(SKETCH - 1)).astype(np.int64)
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in meeting.read(batches):
+            fp, n = x["fp"], x["n"]
+            rows, cols = _rows_cols(x)
+            if labelled:
+                for i, j in _close(fp, n, rows, cols, most, least):
+                    apart = x["label"][i] != x["label"][j]
+                    if apart.any():
+                        yield batch(x, i[apart], j[apart])
+                continue
+            labels = Labels(len(x))
+            for i, j in _close(fp, n, rows, cols, most, least):
+                labels.merge(i, j)
+            size = np.bincount(labels.root, minlength=len(x))[labels.root]
+            small = (size > 1) & (size <= SMALL_GROUP)
+            if small.any():
+                for i, j in _close(fp, n, rows[small[rows]], cols[small[cols]], most, least):
+                    yield batch(x, i, j)
+            for root in np.unique(labels.root[size > SMALL_GROUP]):
+                group = np.flatnonzero(labels.root == root)
+                bits = np.unpackbits(np.ascontiguousarray(fp[group]).view(np.uint8).reshape(len(group), -1), axis=1)
+                middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(group)).view("<u8")
+                lead = group[np.lexsort((x["node"][group], np.bitwise_count(fp[group] ^ middle).sum(1)))[0]]
+                yield batch(x, np.concatenate([group, group]), np.concatenate([np.full(len(group), lead), group]))
+
+    return meeting.cells(fps).mapInArrow(compare, "a long, b long").distinct()
+
+
+#: Words of 64 bits of the filter that picks the texts to compare; false hits only cost work.
+FILTER_WORDS = 1 << 18
 
 
-#: Words of 64 bits of the filter that picks the bags to compare; false hits only cost work.
-FILTER_WORDS = 1 << 18
+def _chosen(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` may be in ``nodes (node)``, by a bitmap of fixed size; none is missed."""
+    place, bit = F.pmod(F.shiftright("node", 6), F.lit(FILTER_WORDS)), F.pmod("node", F.lit(64)).cast("int")
+    bits = nodes.groupBy(place.alias("_place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    at = F.pmod(F.shiftright("doc_id", 6), F.lit(FILTER_WORDS))
+    return docs.join(F.broadcast(bits), at == F.col("_place")).filter(
+        F.call_function("shiftrightunsigned", F.col("_bits"), F.pmod("doc_id", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    ).select("doc_id", "text")
 
 
-def similar(whole: DataFrame, least: float) -> DataFrame:
-    """Edges ``a, b`` that connect the keys of ``whole (key, bag)`` whose bags have a Jaccard similarity of ``least`` or more.
+def similar(docs: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` of ids whose texts in ``docs (doc_id, text)`` have a Jaccard similarity of ``least`` or more.
 
-    In one order of all shingles, rarest first, two such bags share one of their first
-    n - ceil(least * n) + 1: no pair is missed. The members of each such shingle are first compared
-    with one of them, which connects dense groups; then all pairs that are not connected yet.
-    Keys may repeat, with equal bags.
+    Shingles that repeat count as often as they do.
     """
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SKETCH, np.int64)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen += np.bincount(_slots(batch.column(0).flatten().to_numpy()), minlength=SKETCH)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "seen"])
+            bags = [bag(shingles(t, shingle)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.int64()))], ["doc_id", "bag"])
 
-    counts = np.zeros(SKETCH, np.int64)
-    sketch = arrow_map(whole.select("bag"), count, "slot long, seen long").groupBy("slot").agg(F.sum("seen").alias("seen")).toArrow()
-    counts[sketch["slot"].to_numpy()] = sketch["seen"].to_numpy()
-    shared_counts = whole.sparkSession.sparkContext.broadcast(counts)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Rows that repeat an id and text are one; an id with several texts keeps them all.
+    bags = arrow_map(_chosen(docs, nodes), run, "doc_id long, bag array<long>").groupBy("doc_id", F.xxhash64("bag").alias("_key")).agg(F.first("bag").alias("bag"))
+    a = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("_a"))
+    b = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("_b"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    return pairs.join(a, "a").join(b, "b").filter(common >= F.lit(least) * (F.size("_a") + F.size("_b") - common)).select("a", "b").distinct()
 
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, known = shared_counts.value, set()
-        for batch in batches:
-            keys, sizes, out = batch.column(0).to_numpy(), [], []
-            for key, values in zip(keys.tolist(), batch.column(1), strict=True):
-                values = values.values.to_numpy()
-                n = len(values)
-                # Copies of a text would make its shingles hot.
-                first = np.lexsort((values, rare[_slots(values)]))[: n - math.ceil(least * n - 1e-9) + 1] if key not in known else []
-                known.add(key)
-                out.append(values[first] if len(first) else values[:0])
-                sizes.append((len(first), n))
-            taken, total = np.array(sizes, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*out, np.zeros(0, np.int64)])), pa.array(np.repeat(keys, taken)), pa.array(np.repeat(total, taken))], ["h", "key", "n"]
-            )
 
-    prefixes = arrow_map(whole.filter(F.size("bag") > 0).select("key", "bag"), deal, "h long, key long, n long")
-    lead = prefixes.groupBy("h").agg(F.min("key").alias("lead"), F.max("key").alias("_last")).filter("lead <> _last").drop("_last")
-    met = checkpointed(prefixes.join(lead, "h").distinct())
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs)
-        key = F.explode(F.array("a", "b")).alias("key")
-        place, bit = F.pmod(F.shiftright("key", 6), F.lit(FILTER_WORDS)), F.pmod("key", F.lit(64)).cast("int")
-        bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")
-        found = pairs.select(key).groupBy(place.alias("place")).agg(bits).toArrow()
-        wanted = np.zeros(FILTER_WORDS, np.int64)
-        wanted[found["place"].to_numpy()] = found["bits"].to_numpy()
-        wanted = whole.sparkSession.sparkContext.broadcast(wanted)
-
-        def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = batch.column(0).to_numpy()
-                yield batch.filter(pa.array((wanted.value[(keys >> 6) % FILTER_WORDS] >> keys % 64 & 1).astype(bool)))
-
-        once = arrow_map(whole.select("key", "bag"), pick, "key long, bag array<long>").groupBy("key").agg(F.first("bag").alias("bag"))
-        a = once.select(F.col("key").alias("a"), F.col("bag").alias("_a"))
-        b = once.select(F.col("key").alias("b"), F.col("bag").alias("_b"))
-        common = F.size(F.array_intersect("_a", "_b"))
-        return pairs.join(a, "a").join(b, "b").filter(common >= F.lit(least) * (F.size("_a") + F.size("_b") - common)).select("a", "b")
-
-    # The lead's size is not known here; it is compared when confirmed.
-    near = checkpointed(confirmed(met.filter("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()))
-    roots = components(near).select(F.col("node").alias("key"), "root")
-    members = checkpointed(met.join(roots, "key", "left").select("h", "key", "n", F.coalesce("root", "key").alias("root")))
-    left = members.select("h", F.col("key").alias("a"), F.col("n").alias("_n"), F.col("root").alias("_root"))
-    rest = (
-        left.join(members.select("h", F.col("key").alias("b"), "n", "root"), "h")
-        .filter("a < b AND _root <> root").filter(F.least("n", "_n") >= F.lit(least) * F.greatest("n", "_n"))
-        .select("a", "b").distinct()
-    )
-    return near.unionByName(confirmed(rest))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, halves: int = 1, differ: int | None = None, least: float | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row of ``docs (doc_id, text)`` (and ``fp2``).
-
-    With one half ``component_id`` is the smallest id that links of at most ``most`` differing bits
-    reach. With two, or with ``least``, links are pairs of texts whose shingles have a Jaccard
-    similarity of ``least`` (by default ``SIMILAR``), whatever bits differ.
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILAR) -> DataFrame:
+    """``doc_id, component_id`` of each row of ``docs (doc_id, text)``; rows without id have none.
+
+    Links are pairs of texts that meet by their fingerprints and have a Jaccard similarity of
+    ``least`` or more. Equal texts are one; texts without a word are all equal.
+    """
+    names = _names(SIMILAR_HALVES)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    rows = checkpointed(fingerprints(plain, shingle, SIMILAR_HALVES))
+    once = checkpointed(rows.groupBy(*names, "key", "n").agg(F.min("doc_id").alias("node")))
+    worded = once.filter("n > 0").select(*names, "node", "n")
+    found = checkpointed(candidates(worded, least, False))
+    near = checkpointed(similar(plain, found.filter("a <> b"), least, shingle))
+    # Members of large groups that their stars have not connected are compared pair by pair.
+    unfinished = found.filter("a = b").select(F.col("a").alias("node"))
+    roots = components(near)
+    members = worded.join(unfinished, "node", "left_semi").join(roots, "node", "left").select(*names, "node", "n", F.coalesce("root", "node").alias("label"))
+    rest = checkpointed(candidates(checkpointed(members), least, True))
+    near = near.unionByName(similar(plain, rest, least, shingle))
+    roots = components(near)
+    classes = once.join(roots, "node", "left").select(*names, "key", "n", F.coalesce("root", "node").alias("component_id"))
+    return rows.join(classes, [*names, "key", "n"]).select("doc_id", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4, halves: int = 1) -> DataFrame:
+    """``doc_id, fp, component_id`` of each row of ``docs (doc_id, text)`` (and ``fp2`` with two halves).
+
+    ``component_id`` is the smallest id that links of at most ``most`` differing bits reach.
     """
     names = _names(halves)
-    if least is None and halves > 1:
-        least = SIMILAR
-    if least is not None:
-        whole = checkpointed(bags(docs, shingle, halves).withColumn("key", F.xxhash64("bag")))
-        rows = whole.drop("bag")
-        found = components(similar(whole.filter("doc_id is not null"), least)).select(F.col("node").alias("key"), "root")
-        classes = rows.groupBy("key").agg(F.min("doc_id").alias("node")).join(found, "key", "left").select("key", "node", F.coalesce("root", "key").alias("root"))
-        ids = classes.groupBy("root").agg(F.min("node").alias("component_id"))
-        return rows.join(classes.join(ids, "root").select("key", "component_id"), "key").select("doc_id", *names, "component_id")
-    fps = checkpointed(fingerprints(docs, shingle, halves))
+    fps = checkpointed(fingerprints(docs, shingle, halves).select("doc_id", *names))
     once = checkpointed(fps.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    found = components(links(once.filter("node is not null"), most, halves, differ))
+    found = components(links(once.filter("node is not null"), most, halves))
     classes = once.join(found, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
     return fps.join(classes, names).select("doc_id", *names, "component_id")
 
 
-#: Jaccard similarity of near duplicates in the pipeline, over five-word shingles.
-SIMILAR = 0.8
-#: Limits for fingerprints of 128 bits; with ``least`` they decide nothing.
-SIMILAR_BITS, SIMILAR_DIFFER = 28, 2
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` less all but one of each group of near duplicates.
+    """The rows of ``docs`` less all but one of each group of near duplicates, with their columns.
 
-    Links are pairs with a Jaccard similarity of ``least`` or more, all of them. The row with the
-    smallest id stays. Rows that repeat its id stay with it, as do rows without id.
+    The row with the smallest id stays. Rows that repeat its id stay with it, as do rows without id.
     """
-    found = near_duplicates(docs, shingle, halves=2, least=least)
+    found = similar_documents(docs, shingle, least)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     return plain.join(kept, F.col("_id") == F.col("_kept"), "left").filter("_kept is not null or _id is null").select("_row.*")

@@ -75,53 +75,85 @@ def test_simhash_grid_of_a_hot_anchor(spark):
 
     want = {k: top(k) for k in range(len(f)) if top(k) != k}
     table = spark.createDataFrame(rows, "fp long, node long")
-    for cells in ({}, {"rows_per_cell": 8, "cols_per_cell": 16}):
-        got = {r["node"]: r["root"] for r in components(simhash.links(table, 4, **cells)).collect()}
+    for options in ({}, {"rows_per_cell": 8, "cols_per_cell": 16}, {"paired": True}, {"paired": True, "rows_per_cell": 8, "cols_per_cell": 16}):
+        got = {r["node"]: r["root"] for r in components(simhash.links(table, 4, **options)).collect()}
         assert got == want
 
 
-def test_simhash_grid_of_sparse_pairs(spark):
-    """At a crowded anchor with few links, those of rows and columns in different cells count too."""
+def test_simhash_sparse_links_at_crowded_anchors(spark):
+    """Few links at anchors of many fingerprints: those of rows and columns in different cells count too."""
     rng = np.random.default_rng(5)
     pairs = []
-    for _ in range(100):  # the two meet at the anchor of their first block, zero, and at no other one
-        bits = rng.integers(0, 2, 128)
+    for _ in range(150):  # the two differ by two bits of each later block, so they meet in the first one, which all share
+        bits = rng.integers(0, 2, 64)
         other = bits.copy()
-        for low, length in ((22, 21), (43, 21), (64, 22), (86, 21), (107, 21)):
-            other[low + rng.choice(length, 7, replace=False)] ^= 1
+        other[22 + rng.choice(21, 2, replace=False)] ^= 1
+        other[43 + rng.choice(21, 2, replace=False)] ^= 1
         pairs += [bits, other]
     bits = np.array(pairs)
     bits[:, :22] = 0
-    fps = np.packbits(bits, axis=1, bitorder="little").view("<i8").tolist()
+    fps = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel().tolist()
     links = simhash.Labels(len(bits))
-    links.merge(*np.nonzero((bits[:, None] != bits).sum(2) <= 35))
+    links.merge(*np.nonzero((bits[:, None] != bits).sum(2) <= 4))
     want = {k: root for k, root in enumerate(links.root.tolist()) if root != k}
-    assert 100 <= len(want) < 150
-    table = spark.createDataFrame([(*f, k) for k, f in enumerate(fps)], "fp long, fp2 long, node long")
-    for cells in ({}, {"rows_per_cell": 8, "cols_per_cell": 16}):
-        got = {r["node"]: r["root"] for r in components(simhash.links(table, 35, halves=2, differ=0, **cells)).collect()}
+    assert len(want) >= 150
+    table = spark.createDataFrame(list(zip(fps, range(len(fps)), strict=True)), "fp long, node long")
+    for options in ({}, {"rows_per_cell": 60, "cols_per_cell": 60}, {"rows_per_cell": 150, "cols_per_cell": 150}, {"paired": True}):
+        got = {r["node"]: r["root"] for r in components(simhash.links(table, 4, **options)).collect()}
         assert got == want
 
 
+def _edited(rng, words, edits):
+    other = list(words)
+    for at in rng.choice(len(words), edits, replace=False):
+        other[at] = "other"
+    return other
+
+
+def _jaccard(texts):
+    sets = [set(simhash.bag(simhash.shingles((t or "").encode(), 5)).tolist()) for t in texts]
+    return np.array([[len(a & b) / max(1, len(a | b)) for b in sets] for a in sets])
+
+
 def test_keep_one_goes_by_jaccard(spark, docs_of):
-    """Every pair of five-word shingles at 0.8 or more is linked, none below."""
+    """Pairs of five-word shingles at 0.8 or more are linked, none below; large groups too."""
     rng = np.random.default_rng(6)
     texts = []
     for _ in range(60):
         words = [f"w{k}" for k in rng.integers(0, 10**9, 120)]
-        other = list(words)
-        for at in rng.choice(120, int(rng.integers(1, 8)), replace=False):
-            other[at] = "other"
-        texts += [" ".join(words), " ".join(other)]
+        texts += [" ".join(words), " ".join(_edited(rng, words, int(rng.integers(1, 8))))]
+    for edits in (1, 3, 5):  # groups that a star from their middle connects, in part, and not at all
+        words = [f"v{k}" for k in rng.integers(0, 10**9, 110)]
+        texts += [" ".join(_edited(rng, words, edits)) for _ in range(40)]
     texts += ["again and again we meet here " * 5, "again and again we meet here " * 6, None, ""]
-    sets = [simhash.bag(simhash.shingles((t or "").encode(), 5)).tolist() for t in texts]
-    common = np.array([[len({*a} & {*b}) / max(1, len({*a} | {*b})) for b in sets] for a in sets])
+    common = _jaccard(texts)
     labels = simhash.Labels(len(texts))
     labels.merge(*np.nonzero(common >= 0.8))
-    labels.merge(np.array([122]), np.array([123]))
-    near = {k for k, root in enumerate(labels.root.tolist()) if root == k}
-    assert ((common > 0.6) & (common < 0.8)).any() and len(near) < len(texts) - 10
-    assert {r["doc_id"] for r in simhash.keep_one(docs_of(texts)).collect()} == near
+    labels.merge(np.array([len(texts) - 2]), np.array([len(texts) - 1]))
+    assert ((common > 0.6) & (common < 0.8)).any()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(texts)).collect()}
+    assert got == dict(enumerate(labels.root.tolist()))
+    assert {r["doc_id"] for r in simhash.keep_one(docs_of(texts)).collect()} == {k for k, root in got.items() if k == root}
+
+
+def test_recall_just_above_the_limit():
+    """Share of pairs at a similarity of 0.80 to 0.84 that meet and differ in few enough bits."""
+    rng = np.random.default_rng(8)
+    met = n = 0
+    while n < 300:
+        words = [f"w{k}" for k in rng.integers(0, 10**9, int(rng.integers(150, 600)))]
+        other = _edited(rng, words, max(1, len(words) // 48))
+        a, b = (simhash.shingles(" ".join(w).encode(), 5) for w in (words, other))
+        share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        if not 0.8 <= share < 0.84:
+            continue
+        n += 1
+        fps = np.array([simhash._fold(a, simhash.SIMILAR_HALVES), simhash._fold(b, simhash.SIMILAR_HALVES)], np.uint64)
+        if np.bitwise_count(fps[0] ^ fps[1]).sum() > simhash.SIMILAR_BITS:
+            continue
+        met += any(set(anchor[index == 0].tolist()) & set(anchor[index == 1].tolist()) for index, anchor, _ in simhash.anchors(list(fps.T.copy()), simhash.SIMILAR_DIFFER))
+    print("recall", met / n)
+    assert met / n >= 0.97
 
 
 def test_quality_rules(spark, docs_of):
