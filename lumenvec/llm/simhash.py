@@ -315,10 +315,10 @@ class Meeting:
         slim = small_batches(fps.select(*_names(self.halves), "node", *self.extra), 20_000)
         return slim.mapInArrow(self.deal(self.grid(slim)), "anchor long, i int, j int, records binary").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
-    def read(self, batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        """The records of each cell."""
-        for _, cell in by_key(batches, ["anchor", "i", "j"]):
-            yield np.frombuffer(b"".join(cell["records"].to_pylist()), self.record)
+    def read(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray]]:
+        """The key and the records of each cell."""
+        for key, cell in by_key(batches, ["anchor", "i", "j"]):
+            yield key, np.frombuffer(b"".join(cell["records"].to_pylist()), self.record)
 
 
 def _rows_cols(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +341,7 @@ def links(fps: DataFrame, most: int = 4, halves: int = 1, differ: int | None = N
     meeting = Meeting(halves, differ, paired, False, (), rows_per_cell, cols_per_cell)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in meeting.read(batches):
+        for _, x in meeting.read(batches):
             labels = Labels(len(x))
             for i, j in _close(x["fp"], None, *_rows_cols(x), most, 0):
                 labels.merge(i, j)
@@ -361,30 +361,27 @@ SIMILAR_HALVES, SIMILAR_DIFFER, SIMILAR_BITS = 4, 1, 56
 SMALL_GROUP = 24
 
 
-def candidates(fps: DataFrame, least: float, labelled: bool, halves: int = SIMILAR_HALVES, most: int = SIMILAR_BITS, differ: int = SIMILAR_DIFFER) -> DataFrame:
+def candidates(fps: DataFrame, least: float, halves: int = SIMILAR_HALVES, most: int = SIMILAR_BITS, differ: int = SIMILAR_DIFFER) -> DataFrame:
     """Pairs ``a, b`` of ``fps (fp, fp2, ..., node, n)`` that may be similar, for an exact comparison.
 
     In a group of more than SMALL_GROUP at an anchor only pairs with the member closest to the
     group's majority bits; each member then also comes as a pair with itself, to say that its group
-    isn't done. If ``labelled``, ``fps`` has a ``label``, and all pairs of unequal labels are
-    returned, none of equal ones.
+    isn't done.
     """
-    meeting = Meeting(halves, differ, False, True, ("n", "label") if labelled else ("n",), 8192, 16384)
+    meeting = Meeting(halves, differ, False, True, ("n",), 8192, 16384)
+    masks = np.zeros((halves * len(BLOCKS), halves), np.uint64)
+    for k in range(len(masks)):
+        low, length = BLOCKS[k % len(BLOCKS)]
+        masks[k, k // len(BLOCKS)] = ((1 << length) - 1) << low
 
     def batch(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
         a, b = x["node"][i], x["node"][j]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in meeting.read(batches):
+        for (anchor, *_), x in meeting.read(batches):
             fp, n = x["fp"], x["n"]
             rows, cols = _rows_cols(x)
-            if labelled:
-                for i, j in _close(fp, n, rows, cols, most, least):
-                    apart = x["label"][i] != x["label"][j]
-                    if apart.any():
-                        yield batch(x, i[apart], j[apart])
-                continue
             labels = Labels(len(x))
             for i, j in _close(fp, n, rows, cols, most, least):
                 labels.merge(i, j)
@@ -392,7 +389,12 @@ def candidates(fps: DataFrame, least: float, labelled: bool, halves: int = SIMIL
             small = (size > 1) & (size <= SMALL_GROUP)
             if small.any():
                 for i, j in _close(fp, n, rows[small[rows]], cols[small[cols]], most, least):
-                    yield batch(x, i, j)
+                    # Those that an earlier block surely brings together come from there.
+                    apart = fp[i] ^ fp[j]
+                    new = np.ones(len(i), bool)
+                    for mask in masks[: anchor >> 24]:
+                        new &= np.bitwise_count(apart & mask).sum(1) > differ
+                    yield batch(x, i[new], j[new])
             for root in np.unique(labels.root[size > SMALL_GROUP]):
                 group = np.flatnonzero(labels.root == root)
                 bits = np.unpackbits(np.ascontiguousarray(fp[group]).view(np.uint8).reshape(len(group), -1), axis=1)
@@ -417,28 +419,90 @@ def _chosen(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     ).select("doc_id", "text")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Those of ``pairs (a, b)`` of ids whose texts in ``docs (doc_id, text)`` have a Jaccard similarity of ``least`` or more.
-
-    Shingles that repeat count as often as they do.
-    """
+def _bags(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, bag`` of each of ``nodes``, and of a few others; once for each text that an id has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = [bag(shingles(t, shingle)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.int64()))], ["doc_id", "bag"])
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # Rows that repeat an id and text are one; an id with several texts keeps them all.
-    bags = arrow_map(_chosen(docs, nodes), run, "doc_id long, bag array<long>").groupBy("doc_id", F.xxhash64("bag").alias("_key")).agg(F.first("bag").alias("bag"))
+    found = arrow_map(_chosen(docs, nodes), run, "doc_id long, bag array<long>")
+    return found.groupBy("doc_id", F.xxhash64("bag").alias("_key")).agg(F.first("bag").alias("bag")).drop("_key")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` of ids whose texts in ``docs (doc_id, text)`` have a Jaccard similarity of ``least`` or more.
+
+    Shingles that repeat count as often as they do.
+    """
+    bags = _bags(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), shingle)
     a = bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("_a"))
     b = bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("_b"))
     common = F.size(F.array_intersect("_a", "_b"))
     return pairs.join(a, "a").join(b, "b").filter(common >= F.lit(least) * (F.size("_a") + F.size("_b") - common)).select("a", "b").distinct()
 
 
+#: Members and shingles of a tile of a large group.
+TILE, TILE_SHINGLES = 4096, 1 << 22
+
+
+def similar_in_groups(docs: DataFrame, members: DataFrame, least: float, shingle: int, most: int = SIMILAR_BITS, halves: int = SIMILAR_HALVES) -> DataFrame:
+    """Edges ``a, b`` that connect those of ``members (fp, ..., node, n, label, grp)`` with at most ``most`` differing
+    bits and a Jaccard similarity of ``least`` or more that have the same ``grp`` and unequal labels.
+
+    A group is cut into tiles of bounded size; each pair of tiles is compared in one task, which
+    returns only what it connects.
+    """
+    names = _names(halves)
+    shape = members.groupBy("grp").agg(F.count("*").alias("_rows"), F.sum("n").alias("_shingles")).select(
+        "grp", F.greatest(F.ceil(F.col("_rows") / TILE), F.ceil(F.col("_shingles") / TILE_SHINGLES)).cast("int").alias("tiles")
+    )
+    bags = _bags(docs, members.select("node"), shingle)
+    tiled = (
+        members.join(shape, "grp").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        .join(bags, F.col("node") == F.col("doc_id"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("grp", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "t", "node", "label", *names, "bag")
+        .repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    )
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), cell in by_key(batches, ["grp", "i", "j"]):
+            node, label, t = (cell[c].to_numpy() for c in ("node", "label", "t"))
+            fp = np.stack([cell[c].to_numpy().view(np.uint64) for c in names], axis=1)
+            bags = cell["bag"].combine_chunks()
+            bags = bags.chunk(0) if isinstance(bags, pa.ChunkedArray) else bags
+            ends = bags.offsets.to_numpy().astype(np.int64)
+            ends -= ends[0]
+            n = np.diff(ends)
+            codes = np.unique(bags.flatten().to_numpy(), return_inverse=True)[1]
+            marked = np.zeros(int(codes.max(initial=-1)) + 1, np.int64)
+            labels = Labels(len(node))
+            labels.merge(np.arange(len(node)), np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]])
+            for left, right in _close(fp, n, np.flatnonzero(t == i), np.flatnonzero(t == j), most, least, 1 << 18):
+                open_ = labels.root[left] != labels.root[right]
+                left, right = left[open_], right[open_]
+                for x in np.unique(left):
+                    others = right[left == x]
+                    others = others[labels.root[others] != labels.root[x]]
+                    if not len(others):
+                        continue
+                    mine = codes[ends[x] : ends[x + 1]]
+                    marked[mine] = 1
+                    places = np.repeat(ends[others], n[others]) + _within(n[others])
+                    common = np.add.reduceat(marked[codes[places]], np.concatenate([[0], np.cumsum(n[others])[:-1]]))
+                    marked[mine] = 0
+                    near = others[common >= least * (n[x] + n[others] - common)]
+                    labels.merge(np.full(len(near), x), near)
+            a, b = star(node, labels.root)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return tiled.mapInArrow(compare, "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILAR) -> DataFrame:
-    """``doc_id, component_id`` of each row of ``docs (doc_id, text)``; rows without id have none.
+    """``doc_id, component_id`` of each row of ``docs (doc_id, text)``; rows without id don't appear.
 
     Links are pairs of texts that meet by their fingerprints and have a Jaccard similarity of
     ``least`` or more. Equal texts are one; texts without a word are all equal.
@@ -448,15 +512,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILAR)
     rows = checkpointed(fingerprints(plain, shingle, SIMILAR_HALVES))
     once = checkpointed(rows.groupBy(*names, "key", "n").agg(F.min("doc_id").alias("node")))
     worded = once.filter("n > 0").select(*names, "node", "n")
-    found = checkpointed(candidates(worded, least, False))
+    found = checkpointed(candidates(worded, least))
     near = checkpointed(similar(plain, found.filter("a <> b"), least, shingle))
-    # Members of large groups that their stars have not connected are compared pair by pair.
-    unfinished = found.filter("a = b").select(F.col("a").alias("node"))
-    roots = components(near)
-    members = worded.join(unfinished, "node", "left_semi").join(roots, "node", "left").select(*names, "node", "n", F.coalesce("root", "node").alias("label"))
-    rest = checkpointed(candidates(checkpointed(members), least, True))
-    near = near.unionByName(similar(plain, rest, least, shingle))
-    roots = components(near)
+    # Members of large groups that their stars have not connected are compared in tiles.
+    crowded = found.filter("a = b").select(F.col("a").alias("node"))
+    groups = components(found.join(crowded.withColumnRenamed("node", "a"), "a", "left_semi").join(crowded.withColumnRenamed("node", "b"), "b", "left_semi"))
+    labels = components(near).withColumnRenamed("root", "label")
+    members = checkpointed(
+        worded.join(crowded, "node", "left_semi").join(labels, "node", "left").join(groups, "node", "left")
+        .select(*names, "node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("root", "node").alias("grp"))
+    )
+    roots = components(near.unionByName(similar_in_groups(plain, members, least, shingle)))
     classes = once.join(roots, "node", "left").select(*names, "key", "n", F.coalesce("root", "node").alias("component_id"))
     return rows.join(classes, [*names, "key", "n"]).select("doc_id", "component_id")
 
