@@ -323,7 +323,7 @@ def test_license_edges(spark, docs_of):
     text = "intro words\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright\nnotice and this permission notice appear in all copies.\nend"
     docs = docs_of([*ODD, text, "version 4 of the GNU General Public License", "this work is licensed under the gnu general public license, version 3!"])
     rows = license_scan.scan(docs).collect()
-    assert [(r["doc_id"], r["license"], r["differing_words"]) for r in sorted(rows)] == [(10, "ISC", 0), (12, "GPL-3.0", 0)]
+    assert [(r["doc_id"], r["license"], r["differing_words"]) for r in sorted(rows)] == [(10, "ISC", 0), (12, "GPL-3.0-only", 0)]
     assert all(text[r["start"] : r["start"] + r["length"]] == r["wording"] for r in rows if r["doc_id"] == 10)
     assert license_scan.scan(docs.filter("false")).count() == 0
 

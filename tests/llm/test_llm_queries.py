@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lumenvec.llm import queries
+from lumenvec.llm import license_scan, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -63,14 +64,41 @@ def test_op7_held_out_accuracy(spark, sf):
     assert np.mean([a == b for a, b in held]) > 0.9
 
 
-def test_op8_finds_planted_lines(spark, sf):
-    found = {(r["doc_id"], r["license"]) for r in queries.op8_license_scan(spark, sf).collect()}
+def every_template_everywhere(text):
+    """Notices of a text by comparing each template with the whole of it: no trigger, window or compression."""
+    scanner = license_scan.Scanner()
+    spans = [(m.start(), m.end()) for m in license_scan.WORD.finditer(text)]
+    words = [text[a:b].lower() for a, b in spans]
+    found = [(*x, 0.0, k) for k in range(len(scanner.templates)) for x in scanner.confirm(words, k)]
+    return [(spans[a][0], spans[b - 1][1] - spans[a][0], scanner.templates[k][0], d) for a, b, _, d, _, k in license_scan.choose(found)]
+
+
+def test_op8_against_every_template_everywhere(spark, sf):
+    got = sorted((r["doc_id"], r["start"], r["length"], r["license"], r["differing_words"]) for r in queries.op8_license_scan(spark, sf).collect())
+    assert got == sorted((i, *x) for i, r in _documents(spark, sf).items() for x in every_template_everywhere(r["text"] or ""))
     lines = {
-        "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "MIT": "Released under the MIT License.",
-        "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Proprietary": "All rights reserved.",
+        "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3.", "MIT": "Released under the MIT License.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "LicenseRef-All-Rights-Reserved": "All rights reserved.",
     }
-    want = {(i, name) for i, r in _documents(spark, sf).items() for name, line in lines.items() if line in (r["text"] or "")}
-    assert found == want
+    assert {(i, x) for i, _, _, x, _ in got} == {(i, name) for i, r in _documents(spark, sf).items() for name, line in lines.items() if line in (r["text"] or "")}
+
+
+@pytest.mark.parametrize("words", [0, 100, 3_000, 20_000])
+def test_op8_notices_inside_long_lines(words):
+    rng = random.Random(words)
+    scanner = license_scan.Scanner()
+    for name, wording in license_scan.TEMPLATES:
+        assert license_scan._TRIGGER.search(wording)
+        around = [rng.choice(("the", "of", "and", "software", "license")) if rng.random() < 0.3 else f"w{rng.randrange(9999)}" for _ in range(words)]
+        at = rng.randrange(words + 1)
+        changed = wording.split()
+        if len(changed) >= 30:
+            changed[rng.randrange(5, 20)] = "altered"
+        text = " ".join([*around[:at], *changed, *around[at:], wording])
+        found = scanner.scan(text)
+        assert [x[2] for x in found] == [name, name]
+        if words <= 100:
+            assert [(a, b - a, x, d) for a, b, x, _, d in found] == every_template_everywhere(text)
 
 
 def test_op9_text_of_articles(spark, sf):
