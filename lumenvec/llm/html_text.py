@@ -9,7 +9,7 @@ layout, and ``fit`` also takes others.
 
 Result for odd input: null or empty html gives empty text; unclosed and stray tags are mended as
 browsers do for block elements; very long pages are read whole; repeated rows give repeated
-results. Extra columns are ignored.
+results. Extra columns are ignored. A page takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 from lumenvec.llm.common import arrow_map
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A comment (to its end or the page's), a declaration, or the start of a tag. All parts are possessive: no text is read twice.
+TOKEN = re.compile(r"<!--|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)")
+#: Inside a tag: its end, or the quote that opens a value.
+IN_TAG = re.compile(r">|=[\x20\t\n\r\f]*+([\"'])")
+ATTRIBUTE = re.compile(r"([^\s=\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+ZEROS = re.compile(r"&#([xX]?)0++(?=[0-9a-fA-F])")
+BEYOND = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")
 
 # Fixed values of the HTML standard.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select"}
@@ -49,11 +52,19 @@ SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "td", "th", "blockquote"}
 
 GOOD_NAME = re.compile(r"article|content|main|post|entry|story|body|text|prose|markdown", re.I)
-BAD_NAME = re.compile(
-    r"(?:^|[\W_])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|foot\w*|head(?:er)?|masthead|side\w*|widget\w*|"
-    r"related|recommend\w*|share|social|comments?|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"newsletter|subscri\w*|signup|login|search|form|copyright|legal|tags?|meta|byline|author|pag(?:er|ination)|skip|toolbar|tabs?|hidden|paywall)(?:$|[\W_])", re.I,
+NAME_PARTS = re.compile(r"[^\W_]++")
+BAD_WORDS = set(
+    "ad ads banner menu breadcrumb breadcrumbs head header masthead related share social comment comments disqus reply replies respond cookie cookies consent "
+    "gdpr notice alert popup modal overlay newsletter signup login search form copyright legal tag tags meta byline author pager pagination skip toolbar tab tabs hidden paywall".split()
 )
+BAD_STARTS = ("advert", "sponsor", "promo", "nav", "foot", "side", "widget", "recommend", "subscri")
+
+
+def named_badly(name: str) -> bool:
+    """Whether a class, id or role has a word that menus, adverts, comments and the like go by."""
+    return any(w in BAD_WORDS or w.startswith(BAD_STARTS) for w in NAME_PARTS.findall(name.lower()))
+
+
 TAG_CLASSES = {
     "article": 0, "main": 1, "section": 2, "div": 3, "p": 4, "h1": 5, "h2": 6, "h3": 6, "h4": 6, "h5": 6, "h6": 6, "li": 7, "ul": 8, "ol": 8, "dl": 8,
     "nav": 9, "footer": 10, "header": 11, "aside": 12, "form": 13, "fieldset": 13, "blockquote": 14, "pre": 14, "td": 15, "th": 15, "tr": 15, "table": 15, "tbody": 15,
@@ -73,10 +84,71 @@ class Node:
         self.link, self.text = 0, ""
 
 
+def unescaped(text: str) -> str:
+    """Text with its character references decoded; numbers of any length."""
+    if "&#" in text:
+        text = BEYOND.sub("\ufffd", ZEROS.sub(r"&#\1", text))
+    return html.unescape(text)
+
+
+class Tags:
+    """Finds the ends of tags, going through the page once.
+
+    A quote opens a value only after an equals sign, and only if the same quote comes again. If a
+    tag has no end that way, quotes mean nothing from there on.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, start: int) -> int:
+        """Place of the ``>`` of the tag whose name ends at ``start``; -1 if the page has none."""
+        at = start
+        while self.quotes:
+            m = IN_TAG.search(self.page, at)
+            if m is None:
+                self.quotes = False
+            elif m[1] is None:
+                return m.start()
+            else:
+                at = m.end() if m.end() > self.last[m[1]] else self.page.index(m[1], m.end()) + 1
+        return self.page.find(">", start)
+
+
+class Open:
+    """The open elements, with the places of each tag's: closing looks at none that it doesn't close."""
+
+    def __init__(self):
+        self.stack, self.tags, self.at, self.scopes = [0], ["html"], {}, []
+
+    def push(self, node: int, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+        self.tags.append(tag)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.stack.pop()
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
 def parse(page: str) -> list[tuple[Node, bool]]:
-    """Nodes in page order; a node is an element, or a run of inline text (True) below one."""
+    """Nodes in page order; a node is an element, or a run of inline text (True) below one.
+
+    Time is linear in the page's length, whatever it holds.
+    """
     nodes: list[tuple[Node, bool]] = [(Node("html", -1, ""), False)]
-    stack = [0]
+    opened, tags = Open(), Tags(page)
     run = -1  # the open run of text
     links, at = 0, 0
 
@@ -87,7 +159,7 @@ def parse(page: str) -> list[tuple[Node, bool]]:
         if run < 0:
             if SPACE.fullmatch(raw):
                 return
-            nodes.append((Node("#text", stack[-1], ""), True))
+            nodes.append((Node("#text", opened.stack[-1], ""), True))
             run = len(nodes) - 1
         node = nodes[run][0]
         node.parts.append(raw)
@@ -103,25 +175,31 @@ def parse(page: str) -> list[tuple[Node, bool]]:
         text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0] == "<!--":
+                close = page.find("-->", at)
+                at = end if close < 0 else close + 3
             continue
+        close = tags.end(at)
+        if close < 0:  # no tag ends any more
+            text(page[m.start() :])
+            break
+        inside, at = page[at:close], close + 1
         tag = m[2].lower()
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag not in INLINE and tag not in VOID:
                 run = -1
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]][0].tag == tag:
-                        del stack[k:]
-                        links = 0
-                        break
-                    if tag == "p":
-                        break
+                place = opened.last(tag)
+                if place and (tag != "p" or place == len(opened.stack) - 1):
+                    opened.cut(place)
+                    links = 0
             continue
+        closed = inside.rstrip().endswith("/")
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
+            if not closed:
+                over = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*+>?", re.I).search(page, at)
+                at = over.end() if over else end
             if tag not in ("noscript", "textarea", "select"):
                 continue
             run = -1
@@ -129,32 +207,29 @@ def parse(page: str) -> list[tuple[Node, bool]]:
         if tag in INLINE:
             if tag == "a":
                 links = 1
-            elif tag in ("br", "input", "button", "img", "wbr") and tag != "wbr":
+            elif tag in ("br", "input", "button", "img"):
                 text(" ")
             continue
         run = -1
         if tag in VOID:
             continue
-        if tag in CLOSES_P and nodes[stack[-1]][0].tag == "p":
-            stack.pop()
+        if tag in CLOSES_P and opened.tags[-1] == "p":
+            opened.cut(len(opened.stack) - 1)
             links = 0
         if tag in SAME_CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                above = nodes[stack[k]][0].tag
-                if above in SAME_CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if above in SCOPE:
-                    break
+            place = opened.last(*SAME_CLOSES[tag])
+            # A scope opened inside the item keeps the item open.
+            if place and place >= (opened.scopes[-1] if opened.scopes else 0):
+                opened.cut(place)
         name = " ".join(
-            (a[1] or a[2] or a[3]) for a in (x.groups() for x in ATTRIBUTE.finditer(m[3])) if a[0].lower() in ("class", "id", "role", "itemprop", "aria-label") and (a[1] or a[2] or a[3])
-        ) if m[3].strip() else ""
-        nodes.append((Node(tag, stack[-1], name), False))
-        if not m[3].rstrip().endswith("/"):
-            stack.append(len(nodes) - 1)
+            (a[1] or a[2] or a[3]) for a in (x.groups() for x in ATTRIBUTE.finditer(inside)) if a[0].lower() in ("class", "id", "role", "itemprop", "aria-label") and (a[1] or a[2] or a[3])
+        ) if inside.strip() else ""
+        nodes.append((Node(tag, opened.stack[-1], name), False))
+        if not closed:
+            opened.push(len(nodes) - 1, tag)
     for node, is_text in nodes:
         if is_text:
-            node.text = SPACE.sub(" ", html.unescape("".join(node.parts))).strip(" ")
+            node.text = SPACE.sub(" ", unescaped("".join(node.parts))).strip(" ")
             node.parts = []
     return nodes
 
@@ -174,7 +249,7 @@ def features(nodes: list[tuple[Node, bool]]) -> tuple[np.ndarray, np.ndarray]:
     for k, (node, is_text) in enumerate(nodes):
         x[k, N_TAGS - 1 if is_text else TAG_CLASSES.get(node.tag, 18)] = 1
         if node.name:
-            good, bad = bool(GOOD_NAME.search(node.name)), bool(BAD_NAME.search(node.name))
+            good, bad = bool(GOOD_NAME.search(node.name)), named_badly(node.name)
             x[k, N_TAGS] = good and not bad
             x[k, N_TAGS + 1] = bad
         if is_text:

@@ -354,3 +354,33 @@ def test_html_edges(spark):
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     out = {r["page_id"]: r["text"] for r in got}
     assert len(got) == 6 and out[1] == out[2] == "" and out[3] == "T\nOne <two> three.\nFour five."
+    clashing = spark.createDataFrame([(1, "u", body, "x", "y")], "page_id long, url string, html string, text string, n_chars string")
+    assert [r["text"] for r in html_text.extract(clashing).collect()] == [out[3]]
+    assert html_text.extract(clashing.filter("false")).count() == 0
+
+
+HARD = {
+    "unclosed tags": "<a" * 10**6, "unclosed values": '<a b="' * 10**5, "odd quotes": "<p c='x>" * 10**5, "one tag of 10 MB": "<p " + "x=y " * (25 * 10**5) + ">text here.",
+    "deep": "<div>" * 10**5 + "deep text.", "stray ends": "<x>" * 10**5 + "</y>" * 10**5, "items below many": "<li><ul>" + "<q1>" * 10**5 + "<li>a</li>" * 10**5,
+    "long numbers": "&#" + "9" * 10**6 + "; &#x" + "f" * 10**5 + " &#00000000065;", "comments": "<!--" * 10**5, "scripts": "<script>" * 10**5, "signs": "<" * 10**6,
+    "long name": '<p class="' + "advert_" * 10**5 + '">x', "spaces": "<p a" + " " * 10**6 + "=>x", "cells": "<table><tr>" + "<td>x" * 10**5,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HARD))
+def test_html_parser_takes_linear_time(name):
+    import time
+
+    began = time.perf_counter()
+    html_text.parse(HARD[name])
+    assert time.perf_counter() - began < 4
+
+
+def test_html_parser_mends_markup():
+    def shape(page):
+        return [(n.tag, n.parent, n.text) for n, _ in html_text.parse(page)][1:]
+
+    assert shape("<ul><li>a<li>b<ul><li>c</ul></ul>") == [("ul", 0, ""), ("li", 1, ""), ("#text", 2, "a"), ("li", 1, ""), ("#text", 4, "b"), ("ul", 4, ""), ("li", 6, ""), ("#text", 7, "c")]
+    assert shape("<table><tr><td>x<td>y<tr><td>z</table>") == [("table", 0, ""), ("tr", 1, ""), ("td", 2, ""), ("#text", 3, "x"), ("td", 2, ""), ("#text", 5, "y"), ("tr", 1, ""), ("td", 7, ""), ("#text", 8, "z")]
+    assert shape('<p title="a>b">c<p d\'>e') == [("p", 0, ""), ("#text", 1, "c"), ("p", 0, ""), ("#text", 3, "e")]
+    assert shape("&#65;&#x42;&#0000067;&#99999999999;&nope;") == [("#text", 0, "ABC\ufffd&nope;")]
