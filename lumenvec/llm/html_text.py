@@ -48,7 +48,7 @@ CLOSES_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
-SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "td", "th", "blockquote"}
 
 GOOD_NAME = re.compile(r"article|content|main|post|entry|story|body|text|prose|markdown", re.I)
@@ -218,8 +218,9 @@ def parse(page: str) -> list[tuple[Node, bool]]:
             links = 0
         if tag in SAME_CLOSES:
             place = opened.last(*SAME_CLOSES[tag])
-            # A scope opened inside the item keeps the item open.
-            if place and place >= (opened.scopes[-1] if opened.scopes else 0):
+            # A scope opened inside the item keeps the item open; a row ends with its cells.
+            scope = opened.last("table") if tag == "tr" else opened.scopes[-1] if opened.scopes else 0
+            if place and place >= scope:
                 opened.cut(place)
         name = " ".join(
             (a[1] or a[2] or a[3]) for a in (x.groups() for x in ATTRIBUTE.finditer(inside)) if a[0].lower() in ("class", "id", "role", "itemprop", "aria-label") and (a[1] or a[2] or a[3])
