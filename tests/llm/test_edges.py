@@ -178,6 +178,12 @@ def test_line_dedup_templates(spark, docs_of):
     assert [got[k]["text"] for k in range(1, 6)] == own[1:] and got[3]["n_dropped_lines"] == 2
     assert got[6]["text"] is None and got[7]["text"] == "" and got[8]["text"] == "solo"
     assert line_dedup.drop_lines(docs).columns == [*docs.columns, "n_dropped_lines"]
+    forum = docs_of([f"{t}\nposted on the forum by {x} in the early spring" for t, x in zip(own, "ann ann ann bob cid".split(), strict=False)])
+    assert [r["n_dropped_lines"] for r in sorted(line_dedup.drop_lines(forum).collect())] == [0, 1, 1, 1, 1]
+    clashing = docs_of(["a b c\nown", "a b c", "a b c"]).withColumnsRenamed({"_row": "n_dropped_lines", "fp": "_drop", "_id": "k1"})
+    assert sorted((r["doc_id"], r["text"], r["n_dropped_lines"], r["_drop"]) for r in line_dedup.drop_lines(clashing).collect()) == [(0, "a b c\nown", 0, "f"), (1, "", 1, "f"), (2, "", 1, "f")]
+    assert [tuple(r) for r in line_dedup.filter_documents(clashing).collect()] == [tuple(clashing.first())]
+    assert line_dedup.filter_documents(docs_of(ODD)).count() == len(ODD)
     assert line_dedup.drop_lines(docs.filter("false")).count() == 0
     twice = docs_of(["same line here"] * 3, ids=[1, 1, 1])
     assert line_dedup.drop_lines(twice).filter("n_dropped_lines > 0").count() == 0

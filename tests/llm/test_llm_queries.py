@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lumenvec.llm import license_scan, queries
+from lumenvec.llm import license_scan, line_dedup, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -139,20 +139,72 @@ def test_op10_round_trip(spark, sf):
         assert total <= 2048 and total & (total - 1) == 0  # full, or a power of two
 
 
-def test_op4_against_counts_of_lines(spark, sf):
-    docs = {i: r["text"] for i, r in _documents(spark, sf).items()}
-    got = {r["doc_id"]: r for r in queries.op4_line_dedup(spark, sf).collect()}
+def slow_line_dedup(docs):
+    """The rule of line dedup over ``{doc_id: text}``, line by line: the kept text and the number of dropped lines."""
+    import math
+
+    def mask(line):
+        return tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(line))
+
+    def needed(n):
+        return 2 if n >= 20 else 3
+
     where = {}
     for i, text in docs.items():
-        for line in text.split("\n"):
-            where.setdefault(" ".join(WORD.findall(line)), set()).add(i)
+        for line in (text or "").split("\n"):
+            if WORD.search(line):
+                where.setdefault(mask(line), set()).add(i)
+    support = {}
+    for line, ids in where.items():
+        for k, w in enumerate(line[4:]):
+            key = (len(line), line[:4], k, w)
+            support[key] = support.get(key, 0) + len(ids)
+    members, least = {}, {}
+    for line in where:
+        if len(line) < 7 or len({i for other in where if len(other) == len(line) and other[:4] == line[:4] for i in where[other]}) < 2:
+            continue
+        found = {k: support[len(line), line[:4], k, w] for k, w in enumerate(line[4:]) if w != "<*>" and support[len(line), line[:4], k, w] >= needed(len(line))}
+        enough = max(3, math.ceil(0.7 * (len(line) - 4) - 1e-12))
+        if len(found) < enough:
+            continue
+        low = sorted(found.values(), reverse=True)[enough - 1]
+        template = (len(line), line[:4], tuple(sorted((k, line[4 + k]) for k, s in found.items() if s >= low)))
+        members.setdefault(template, []).append(line)
+        least[template] = max(low, least.get(template, 0))
+    keeper = {}
+    for template, lines in members.items():
+        ids = set().union(*(where[x] for x in lines))
+        if len(ids) >= needed(template[0]) and sum(len(where[x]) for x in lines) >= 0.25 * least[template]:
+            keeper |= dict.fromkeys(lines, min(ids))
+    for line, ids in where.items():
+        if line not in keeper and len(ids) >= needed(len(line)):
+            keeper[line] = min(ids)
+    out = {}
     for i, text in docs.items():
-        kept = got[i]["text"].split("\n")
-        for line in text.split("\n"):
-            plain = " ".join(WORD.findall(line))
-            if plain and not re.search(r"\d", plain) and len(where[plain]) >= (2 if len(plain.split(" ")) >= 20 else 3):
-                assert (line in kept) == (i == min(where[plain])), line
-        assert all(line in text.split("\n") for line in kept if line)
+        lines = [] if text is None else text.split("\n")
+        kept = [x for x in lines if not WORD.search(x) or keeper.get(mask(x), i) == i]
+        out[i] = (None if text is None else "\n".join(kept), len(lines) - len(kept))
+    return out
+
+
+def test_op4_against_the_rule_line_by_line(spark, sf):
+    docs = {i: r["text"] for i, r in _documents(spark, sf).items()}
+    got = {r["doc_id"]: (r["text"], r["n_dropped_lines"]) for r in queries.op4_line_dedup(spark, sf).collect()}
+    want = slow_line_dedup(docs)
+    assert got == want
+    assert sum(n for _, n in want.values()) > 100
+
+
+def test_op4_rule_on_fields_of_any_size(docs_of):
+    """Fields stay fields however often each value is found, and one document keeps the template."""
+    rng = random.Random(3)
+    for n, values in ((40, 30), (600, 30), (600, 4)):
+        own = [" ".join(f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{'xyz'[k % 3]}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for k in range(9)) for _ in range(n)]
+        texts = [f"{own[i]}\nplease write a letter to {'abcdefghijklmnopqrstuvwxyzäöüß'[rng.randrange(values)]} before the end of the year {2000 + i}" for i in range(n)]
+        texts += ["please write a letter to ann before the end of the year 7", "please write a letter to ann before the end of the year 8"]
+        got = {r["doc_id"]: (r["text"], r["n_dropped_lines"]) for r in line_dedup.drop_lines(docs_of(texts)).collect()}
+        assert got == slow_line_dedup(dict(enumerate(texts)))
+        assert sum(d for _, d in got.values()) == n + 1
 
 
 def test_op2_digests_of_planted_conversation(spark, sf):
