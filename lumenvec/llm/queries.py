@@ -110,9 +110,9 @@ _OP5_SQL = """
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "n_stop_words", "base_failed", "kept",
+        "n_stop_words", "n_stop_word_places", "n_upper", "n_digits", "n_short_lines", "base_failed", "kept",
     )
 
 
@@ -122,7 +122,11 @@ def _op6_sql() -> str:
         "mean_word_chars": "word_chars / greatest(n_words, 1)",
         "symbols_per_word": "n_symbols / greatest(n_words, 1)",
         "distinct_stop_words": "n_stop_words",
+        "stop_word_share": "n_stop_word_places / greatest(n_words, 1)",
+        "upper_case_share": "n_upper / greatest(word_chars, 1)",
+        "digit_share": "n_digits / greatest(word_chars, 1)",
         "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+        "short_line_share": "n_short_lines / greatest(n_lines, 1)",
     }
     tests = " AND ".join(
         f"{value[name]} >= {low}" + ("" if high == float("inf") else f" AND {value[name]} <= {high}")
@@ -143,10 +147,14 @@ def _op6_sql() -> str:
                  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
                  len(lines)::BIGINT AS n_lines,
                  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-                 len(list_intersect(list_distinct(regexp_extract_all(lower(body), '[^\x20\x09-\x0D]+')), [{stop}]))::BIGINT AS n_stop_words
+                 len(list_filter(lines, lambda l: len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) < {quality_rules.SHORT_LINE}))::BIGINT AS n_short_lines,
+                 len(list_distinct(list_filter(regexp_extract_all(lower(body), '[^\x20\x09-\x0D]+'), lambda x: x IN ({stop}))))::BIGINT AS n_stop_words,
+                 len(list_filter(regexp_extract_all(lower(body), '[^\x20\x09-\x0D]+'), lambda x: x IN ({stop})))::BIGINT AS n_stop_word_places,
+                 length(regexp_replace(body, '[^\\p{{Lu}}]+', '', 'g'))::BIGINT AS n_upper,
+                 length(regexp_replace(body, '[^0-9]+', '', 'g'))::BIGINT AS n_digits
           FROM n LEFT JOIN r USING (doc_id)),
     f AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM m)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, base_failed,
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words, n_stop_word_places, n_upper, n_digits, n_short_lines, base_failed,
            NOT base_failed AND {tests} AS kept FROM f"""
 
 

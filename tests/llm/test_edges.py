@@ -166,6 +166,11 @@ def test_quality_rules(spark, docs_of):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]}
     assert quality_rules.filter_documents(docs_of([*ODD, "The cat of the house and the dog had a bone. It was in a tree by the road, and he saw it with his own eyes."])).count() == 1
     assert quality_rules.judge(docs.filter("false")).count() == 0
+    clashing = docs.withColumnsRenamed({"_row": "kept", "fp": "_w", "target": "n_words", "_id": "_hold"})
+    judged = quality_rules.judge(clashing)
+    assert {r["doc_id"]: (r["n_words"], r["kept"], r["_w"]) for r in judged.collect()} == {i: (r["n_words"], r["kept"], "f") for i, r in rows.items()}
+    passed = quality_rules.filter_documents(clashing)
+    assert passed.columns == clashing.columns and {(r["doc_id"], r["kept"], r["n_words"]) for r in passed.collect()} == {(i, f"r{i}", "t") for i, r in rows.items() if r["kept"]}
 
 
 def test_line_dedup_templates(spark, docs_of):

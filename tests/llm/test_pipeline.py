@@ -31,6 +31,8 @@ def test_stages_against_brute_force(spark, sf):
                 return (
                     2 <= sum(map(len, w)) / len(w) <= 12 and len(re.findall(r"[#*$%&|<>]", t)) / len(w) <= 0.1
                     and len(set(word.findall(t.lower())) & stop) >= 2 and (len(lines) - len(set(lines))) / len(lines) <= 0.5
+                    and sum(x in stop for x in word.findall(t.lower())) / len(w) >= 0.02 and sum(map(str.isupper, t)) / sum(map(len, w)) <= 0.5
+                    and len(re.findall("[0-9]", t)) / sum(map(len, w)) <= 0.3 and sum(len(word.findall(x)) < 4 for x in lines) / len(lines) <= 0.9
                 )
 
             assert after == {i: t for i, t in before.items() if good(t)}
