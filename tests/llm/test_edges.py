@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumenvec.llm import chat, html_text, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, simhash, vector_dedup
 from lumenvec.llm.common import components
@@ -236,6 +237,27 @@ def test_vectors(spark):
         (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 3, 1, False), *[(k, 0, k, True) for k in (4, 5, 6, 7, 8, 9, 10, 11, 12)], (-1, 0, -1, False),
     ])
     assert vector_dedup.near_duplicates(table.filter("false")).count() == 0
+    clashing = table.withColumns({c: F.lit("x") for c in ("v", "h", "node", "kept", "n_links")})
+    assert sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in vector_dedup.near_duplicates(clashing).collect()) == got
+
+
+def test_vectors_at_the_threshold(spark):
+    """Pairs within the bound of the threshold go by the double product, in sparse and in dense tiles."""
+    rng = np.random.default_rng(2)
+    base = np.eye(8)[0]
+    rows = []
+    for k in range(400):
+        side = rng.normal(size=8)
+        side[0] = 0
+        c = 0.93 + rng.normal() * 1e-4 if k % 2 else 0.93
+        rows.append(c * base + math.sqrt(max(0.0, 1 - c * c)) * side / np.linalg.norm(side))
+    x = np.array([base, *rows])
+    table = spark.createDataFrame([(k, [float(v) for v in row], 0) for k, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    products, lengths = np.einsum("ik,jk->ij", x, x), np.einsum("ik,ik->i", x, x)
+    links = products / np.sqrt(lengths[:, None] * lengths) >= 0.93
+    for tile in (64, 4096):
+        got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(table, tile=tile).collect()}
+        assert got == {k: int(links[k].sum()) - 1 for k in range(len(x))}
 
 
 def test_vectors_tiles_agree(spark):
