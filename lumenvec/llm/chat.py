@@ -8,8 +8,9 @@ backslash (as are backslashes), which is undone when the output is read back. Th
 from the prefix sums of +1 at the start and -1 at the end of each assistant's content.
 
 Null role or text: empty. Null turns come first. Repeated rows are kept, ordered by turn, role and
-text. Rows with a null conversation id form one conversation. A conversation is read row by row in
-order, so only its output is held in memory.
+text. A row with a null conversation id is a conversation of its own. A conversation is read row by
+row in order, so only its output is held in memory; one of more than MOST_TOKENS raises ValueError, as
+it would be no training example. Extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ CONTROL = ("\\", "###", "</turn>")
 ESCAPE = re.compile("|".join(map(re.escape, CONTROL)))
 UNESCAPE = re.compile(r"\\(\\|###|</turn>)")
 TRAINED_ROLE = "assistant"
+#: Tokens that one conversation may have.
+MOST_TOKENS = 1 << 28
 FORMATTED = "conv_id long, n_turns long, ids array<int>, loss_mask array<tinyint>, text string"
 
 
@@ -90,7 +93,7 @@ class Assembly:
         return np.cumsum(steps[:-1], dtype=np.int8)
 
 
-def format_conversations(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def format_conversations(rows: DataFrame, tokenizer: str | None = None, most_tokens: int = MOST_TOKENS) -> DataFrame:
     """``conv_id, n_turns, ids, loss_mask, text`` of each conversation in ``rows (conv_id, turn, role, text)``.
 
     One shuffle by conversation; ``tokenizer`` is the path of a rank file that every machine has.
@@ -116,24 +119,26 @@ def format_conversations(rows: DataFrame, tokenizer: str | None = None) -> DataF
 
         for batch in batches:
             for conv, role, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if now is None or now[0] != conv:
+                if now is None or now[0] != conv or conv is None:
                     if size > 1 << 20:
                         yield flush()
                         size = 0
                     now = (conv, Assembly(path))
                     done.append(now)
                 now[1].add(role or "", text or "")
+                if len(now[1].ids) > most_tokens:
+                    raise ValueError(f"conversation {conv} has more than {most_tokens} tokens")
                 size += len(text or "")
         if done:
             yield flush()
 
-    order = ["conv_id", "turn", "role", "text"]
+    order = ["conv_id", "_salt", "turn", "role", "text"]
     slim = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
-    )
+    ).withColumn("_salt", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")))
     return arrow_map(
-        slim.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text"), run, FORMATTED
+        slim.repartition("conv_id", "_salt").sortWithinPartitions(*order).select("conv_id", "role", "text"), run, FORMATTED
     )
 
 

@@ -165,6 +165,25 @@ def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return small_batches(df).mapInArrow(function, schema)
 
 
+def ordered_sums(df: DataFrame, order: list[Column], values: dict[str, Column], parts: int = 16) -> DataFrame:
+    """Add the sum of each of ``values`` over the rows before a row in a total order of the whole table.
+
+    Rows are dealt out by ranges of the order; windows run inside a range, and the sums of whole
+    ranges are added from a table of ``parts`` rows.
+    """
+    from pyspark.sql import Window as W
+
+    named = {f"_value{k}": v for k, v in enumerate(values.values())}
+    ranged = checkpointed(df.withColumns(named).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy(F.col("_part").alias("_of")).agg(*[F.sum(n).alias(n) for n in named]).select(
+        "_of", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before{n}") for n in named]
+    )
+    sums = {out: F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"_before{n}") for out, n in zip(values, named, strict=True)}
+    return ranged.join(F.broadcast(offsets), F.col("_part") == F.col("_of")).select(*df.columns, *[c.alias(out) for out, c in sums.items()])
+
+
 def prefix_sums(df: DataFrame, group: str, part: str, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one in its group.
 

@@ -6,12 +6,16 @@ slots of that source. Each source's documents, shuffled by a hash of their id, f
 read over and over in blocks of a slot's tokens; slot and block are joined on source and rank. A
 document's share is what the slots took of it, at most twice its size.
 
+The documents of the mix are returned in the schedule's order: each stands where the first slot that
+takes of it does. So every stretch of the output holds the sources near their weights.
+
 Ranks and places in the stream are prefix sums over bounded parts, so a source with a third of all
-rows is spread over many tasks; the join of slots and blocks is on the block's number.
+rows is spread over many tasks; sums over the sources themselves run over ranges of them; the join of
+slots and blocks is on the block's number. Slots grow with the total, so that their number is bounded.
 
 Null text has no words and takes part with size 0; a null source is a source of its own, ordered
-last. Repeated rows and ids are told apart by their place in the stream. An empty table gives an
-empty result.
+last. Repeated rows and ids are told apart by their place in the stream; of rows alike in all columns
+as many appear in the mix as their places are taken. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenvec.llm.common import checkpointed, prefix_sums, words_of
+from lumenvec.llm.common import checkpointed, ordered_sums, prefix_sums, words_of
 
 #: Golden-ratio stepping modulo 2**30: the odd number nearest to 2**30 / phi.
-STEP, CYCLE = 663608941, 1 << 30
-#: Words of a slot.
-SLOT_WORDS = 128
+STEP, CYCLE = 663608943, 1 << 30
+#: Words of a slot, and the number of slots from which on it grows instead.
+SLOT_WORDS, MOST_SLOTS = 128, 1 << 27
 #: A table of at most so many sources is broadcast.
 FEW_SOURCES = 50_000
 
@@ -38,31 +42,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int
     sources in order of cap to weight, those before the first one that stays below its cap are the
     ones that stop; so one cumulative sum over the table of sources finds the shares.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    named = sizes.withColumn("_k", F.row_number().over(order) - 1).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_k") % len(weights) + 1).cast("int")).cast("long")
-    )
-    rising = W.orderBy((most * F.col("source_size") / F.col("weight")), "_k")
-    whole = W.partitionBy()
-    shared = (
-        named.withColumn("_total", F.sum("source_size").over(whole) * percent / 100)
-        .withColumn("_before", F.coalesce(F.sum(most * F.col("source_size")).over(rising.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_weights", F.sum("weight").over(rising.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("_level", (F.col("_total") - F.col("_before")) / F.col("_weights"))
-        .withColumn("_free", F.col("_level") * F.col("weight") <= most * F.col("source_size"))
-    )
-    level = F.max(F.when(F.col("_free"), F.struct(-F.col("_before"), F.col("_total") - F.col("_before"), F.col("_weights")))).over(whole)
-    return (
-        shared.withColumn("_level", level)
-        .withColumn(
-            "target",
-            F.least(
-                (most * F.col("source_size")).cast("double"),
-                F.coalesce(F.col("weight") * F.col("_level")["col2"] / F.col("_level")["_weights"], (most * F.col("source_size")).cast("double")),
-            ),
-        )
-        .select("source", "_k", "source_size", "weight", "target")
-    )
+    by_name = ordered_sums(sizes, [F.col("source").asc_nulls_last()], {"_k": F.lit(1).cast("long")})
+    named = by_name.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_k") % len(weights) + 1).cast("int")).cast("long"))
+    cap = most * F.col("source_size")
+    rising = checkpointed(ordered_sums(named, [(cap / F.col("weight")).asc(), F.col("_k").asc()], {"_before": cap, "_lighter": F.col("weight")}))
+    whole = rising.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = F.lit((whole[0] or 0) * percent / 100)
+    left = (total - F.col("_before")) / (F.lit(whole[1] or 0) - F.col("_lighter"))
+    free = rising.filter(left * F.col("weight") <= cap)
+    level = free.agg(F.min(F.struct("_before", "_lighter"))).first()[0]
+    share = F.lit(None).cast("double") if level is None else F.col("weight") * F.lit((whole[0] or 0) * percent / 100 - level["_before"]) / F.lit(whole[1] - level["_lighter"])
+    return rising.select("source", "_k", "source_size", "weight", F.least(cap.cast("double"), F.coalesce(share, cap.cast("double"))).alias("target"))
 
 
 def _ranged(column: str, parts: int):
@@ -75,33 +65,33 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     percent: int = 150,
     most: int = 2,
-    slot_words: int = SLOT_WORDS,
+    slot_words: int | None = None,
     parts: int = 512,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents' places, the schedule, and the pieces that it takes.
 
-    Places are ``_id, _source, source_id, size, source_size, target, at``, a row for each of
-    ``docs``; ``at`` is the place in the source's stream. The schedule is ``slot, source_id, rank``.
+    Places are ``_id, _row1, _row2, source_id, size, source_size, target, at``, a row for each of
+    ``docs``; ``at`` is the place in the source's stream, the first two numbers are hashes of the row. The schedule is ``slot, source_id, rank``.
     Pieces are ``slot, source_id, at, turn, start, length``: in the stream's ``turn``-th reading,
     ``length`` words of the document from word ``start``.
     """
     slim = checkpointed(docs.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), *_row_hashes(docs),
         F.size(words_of(F.col("text").cast("string"))).cast("long").alias("size"),
     ))
-    wanted = checkpointed(
-        targets(slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, percent, most)
-    )
+    sizes = checkpointed(slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")))
+    wanted = checkpointed(targets(sizes, weights, percent, most))
     total, n_sources = wanted.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
+    slot_words = slot_words or max(SLOT_WORDS, int(total / MOST_SLOTS))
     n_slots, scale = int(total / slot_words), F.lit(total or 1.0)
     few = F.broadcast if n_sources <= FEW_SOURCES else lambda frame: frame  # else joined by shuffles
 
     # Each source owns the points below its bound and not below that of the source before it.
-    bound = F.round(F.sum("target").over(W.orderBy("_k")) / scale * CYCLE).cast("long")
     width = CYCLE // 1024  # sources and slots meet in 1,024 cells of points
     ranges = (
-        wanted.withColumn("_high", bound)
-        .withColumn("_low", F.lag("_high", 1, 0).over(W.orderBy("_k")))
+        ordered_sums(wanted, [F.col("_k").asc()], {"_before": F.col("target")})
+        .withColumn("_low", F.round(F.col("_before") / scale * CYCLE).cast("long"))
+        .withColumn("_high", F.round((F.col("_before") + F.col("target")) / scale * CYCLE).cast("long"))
         .filter("_high > _low")
         .select(
             F.col("_k").alias("source_id"), "_low", "_high",
@@ -124,9 +114,9 @@ def mix(
         slim.join(few(wanted.select(F.col("source").alias("_name"), F.col("_k").alias("source_id"), "source_size", "target")), F.col("_source").eqNullSafe(F.col("_name")))
         .withColumn("_hash", key)
         .withColumn("_part", _ranged("_hash", parts))
-        .select("_id", "_source", "source_id", "size", "source_size", "target", "_hash", "_part")
+        .select("_id", "_row1", "_row2", "source_id", "size", "source_size", "target", "_hash", "_part")
     )
-    placed = checkpointed(prefix_sums(placed, "source_id", "_part", ["_hash", "_id", "size"], "size", "at").drop("_part", "_hash"))
+    placed = checkpointed(prefix_sums(placed, "source_id", "_part", ["_hash", "_id", "size", "_row1"], "size", "at").drop("_part", "_hash"))
     starts = F.col("at") + F.col("turn") * F.col("source_size")
     spread = (
         placed.filter("size > 0")
@@ -142,6 +132,12 @@ def mix(
     return placed, schedule, pieces
 
 
+def _row_hashes(docs: DataFrame) -> list:
+    """Two hashes of 64 bits of a whole row."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(*columns).alias("_row1"), F.xxhash64(F.lit(1), *columns).alias("_row2")]
+
+
 def shares(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of each row of ``docs``."""
     placed, _, pieces = mix(docs, **options)
@@ -153,26 +149,23 @@ def shares(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, with the columns of ``docs``.
+    """The documents of the mix in the schedule's order, with the columns of ``docs``.
 
     A document appears once for each reading of its source in which the slots take at least half
-    of its words: not at all, once or twice. Rows with the same id, source and size are alike to
-    it and get the share of the first.
+    of its words: not at all, once or twice. It stands where the first of these slots does. Slots
+    run over the whole output: its partitions are ranges of them, sorted.
     """
     placed, _, pieces = mix(docs, **options)
     copies = (
-        pieces.groupBy("source_id", "at", "turn").agg(F.sum("length").alias("_taken"))
+        pieces.groupBy("source_id", "at", "turn").agg(F.sum("length").alias("_taken"), F.min("slot").alias("_slot"))
         .join(placed.filter("size > 0"), ["source_id", "at"])
         .filter(2 * F.col("_taken") >= F.col("size"))
-        .groupBy("_id", "_source", "size", "at").agg(F.count("*").alias("_copies"))
-        .groupBy("_id", "_source", "size").agg(F.max("_copies").cast("int").alias("_copies"))
-    )
-    rows = docs.select(
-        F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id2"), F.col("source").alias("_source2"),
-        F.size(words_of(F.col("text").cast("string"))).cast("long").alias("_size2"),
+        .select(F.col("_row1").alias("_c1"), F.col("_row2").alias("_c2"), "_slot")
     )
+    # Rows alike in all columns stand for each other: one is taken as often as all of them are.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_row_hashes(docs)).dropDuplicates(["_row1", "_row2"])
     return (
-        rows.join(copies, F.col("_id2").eqNullSafe(F.col("_id")) & F.col("_source2").eqNullSafe(F.col("_source")) & (F.col("_size2") == F.col("size")))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-        .select("_row.*")
+        rows.join(copies, (F.col("_row1") == F.col("_c1")) & (F.col("_row2") == F.col("_c2")))
+        .repartitionByRange(F.col("_slot").asc(), F.col("_row1").asc()).sortWithinPartitions("_slot", "_row1", "_row2")
+        .select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
     )

@@ -5,8 +5,8 @@ nothing is shuffled, memory is bounded by a group, and a lost task is simply run
 X tokens gets X div capacity full sequences and, for the rest, short ones whose lengths are the
 powers of two that add up to it; so every sequence ends exactly full and none is padded. Pieces
 longer than a sequence are cut first. Pieces then go in descending length to the sequence with the
-lowest estimated cost (linear plus quadratic in the piece's length) that has room for them; what
-fits nowhere whole is cut over the largest gaps.
+lowest estimated cost (linear plus quadratic in the piece's length) that has room for them, whatever
+their number; only what fits in no sequence whole is cut, over the largest gaps.
 
 Nulls and empty texts: no token but the end token. Repeated rows and ids are packed as they come.
 Very long texts are cut over several sequences. A table without rows gives no piece.
@@ -105,7 +105,6 @@ def assign(
     """Sequences of ``(document, start, length)`` that hold each token once and have no gap."""
     total = sum(lengths)
     room = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> b & 1]
-    full = total // capacity
     sequences: list[list[tuple[int, int, int]]] = [[] for _ in room]
     pieces, free = [], 0
     for doc, n in enumerate(lengths):
@@ -117,24 +116,23 @@ def assign(
         if n > start:
             pieces.append((n - start, doc, start))
     pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
-    heap = [(0.0, s) for s in range(free, full)]
     left = []
+    # Lengths only fall: a sequence with too little room waits until they fit it, and then stays among those to choose from.
+    ready: list[tuple[float, int]] = []
+    waiting = [(-room[s], 0.0, s) for s in range(free, len(room))]
+    heapq.heapify(waiting)
     for n, doc, start in pieces:
-        held = []
-        while heap and room[heap[0][1]] < n:
-            held.append(heapq.heappop(heap))
-            if len(held) >= 64:  # nearly all are too full for it: cut it below
-                break
-        if heap and room[heap[0][1]] >= n:
-            spent, s = heapq.heappop(heap)
-            sequences[s].append((doc, start, n))
-            room[s] -= n
-            if room[s]:
-                held.append((spent + cost(n, linear, quadratic), s))
-        else:
+        while waiting and -waiting[0][0] >= n:
+            _, spent, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (spent, s))
+        if not ready:
             left.append((n, doc, start))
-        for item in held:
-            heapq.heappush(heap, item)
+            continue
+        spent, s = heapq.heappop(ready)
+        sequences[s].append((doc, start, n))
+        room[s] -= n
+        if room[s]:
+            heapq.heappush(waiting, (-room[s], spent + cost(n, linear, quadratic), s))
     gaps = sorted((-room[s], s) for s in range(len(room)) if room[s])
     gaps.reverse()  # the largest gap is taken from the end
     for n, doc, start in left:

@@ -27,16 +27,16 @@ from lumenvec.llm.common import arrow_map, small_batches
 BUCKETS = 1 << 18
 DIMENSION = 12
 GRAMS = (2, 3, 4)
-#: Bound of the labelled rows that training takes.
-MOST_LABELLED = 4000
+#: Bounds of the labelled rows that training takes, and of their length.
+MOST_LABELLED, MOST_CHARS = 4000, 20_000
 REPEAT = b"<repeat>"
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and of the n-grams of their bytes, borders marked; and whose they are."""
-    marked = [b"<" + w + b">" for w in words]
+    """Buckets of all words and of the n-grams of their code points, borders marked; and whose they are."""
+    marked = [f"<{w.decode(errors='replace')}>" for w in words]
     owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, marked), np.int64, len(words)))
-    codes = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
     buckets = [np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in words), np.int64, len(words))]
     owners = [np.arange(len(words))]
     for n in GRAMS:
@@ -151,23 +151,30 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Train on at most ``most`` rows of ``labels (doc_id, quality)`` that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_chars: int = MOST_CHARS) -> pa.Table:
+    """At most ``most`` labelled rows that are not held out, with texts of at most ``most_chars``: ``doc_id, _quality, text``.
 
-    Which rows are taken depends on a hash of the id only. The sample, bounded by ``most``, is
-    broadcast to find its texts.
+    Which rows are taken depends on hashes of id and text only. The ids, bounded by ``most``, are
+    broadcast to find their texts; the bound holds again after that, as ids may repeat.
     """
+    key = F.md5(F.col("doc_id").cast("string"))
     seen = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select("doc_id", F.col("quality").cast("int").alias("_quality"))
-        .orderBy(F.md5(F.col("doc_id").cast("string")), "_quality").limit(most)
+        .orderBy(key, "_quality").limit(most)
     )
     small_batches(docs)
-    rows = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-        .join(F.broadcast(seen), "doc_id").select("doc_id", "_quality", F.coalesce("text", F.lit("")).alias("text"))
-        .toArrow().sort_by([("doc_id", "ascending"), ("_quality", "ascending"), ("text", "ascending")])
+    return (
+        docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+        .filter(F.length("text") <= most_chars).join(F.broadcast(seen), "doc_id").select("doc_id", "_quality", "text")
+        .orderBy(key, "_quality", F.xxhash64("text")).limit(most).toArrow()
+        .sort_by([("doc_id", "ascending"), ("_quality", "ascending"), ("text", "ascending")])
     )
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_chars: int = MOST_CHARS) -> Model:
+    """Train on ``training_rows`` of ``docs (doc_id, text)`` and ``labels (doc_id, quality)``."""
+    rows = training_rows(docs, labels, most, most_chars)
     return train(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("_quality").to_numpy().astype(np.int64))
 
 

@@ -48,13 +48,13 @@ def _shown_sql(column: str) -> str:
 
 
 _OP2_SQL = f"""
-    WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-               UNION ALL SELECT -7, 0, 'user', '{SPLICED}' UNION ALL SELECT -7, 1, 'assistant', '{SPLICED}'),
+    WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '{SPLICED}', NULL UNION ALL SELECT -7, 1, 'assistant', '{SPLICED}', NULL),
     g AS (SELECT conv_id, count(*) AS n_turns,
                  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
                  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
                  sum({len(chat.OPEN + chat.HEAD + chat.CLOSE)} + {_shown_sql("role")} + {_shown_sql("text")})::BIGINT AS formatted_chars
-          FROM a GROUP BY conv_id)
+          FROM a GROUP BY conv_id, alone)
     SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
 
@@ -75,12 +75,12 @@ _OP3_SQL = f"""
           WHERE (total - before) / weights * weight <= 2 * source_size ORDER BY before LIMIT 1),
     t AS (SELECT p.source, k, source_size, least((2 * source_size)::DOUBLE, coalesce(weight * f.rest / f.weights, (2 * source_size)::DOUBLE)) AS target
           FROM p LEFT JOIN f ON true),
-    a AS (SELECT coalesce(sum(target), 0) AS total FROM t),
+    a AS (SELECT coalesce(sum(target), 0) AS total, greatest({mixing.SLOT_WORDS}, floor(coalesce(sum(target), 0) / {mixing.MOST_SLOTS}))::BIGINT AS words FROM t),
     b AS (SELECT *, round(sum(target) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) / total * {mixing.CYCLE})::BIGINT AS high FROM t, a),
     r AS (SELECT k, lag(high, 1, 0) OVER (ORDER BY k) AS low, high FROM b),
     q AS (SELECT (slot % {mixing.CYCLE}) * {mixing.STEP} % {mixing.CYCLE} AS point
-          FROM (SELECT unnest(range((SELECT floor(total / {mixing.SLOT_WORDS})::BIGINT FROM a))) AS slot)),
-    n AS (SELECT k, count(*) * {mixing.SLOT_WORDS} AS words FROM q JOIN r ON point >= low AND point < high GROUP BY k),
+          FROM (SELECT unnest(range((SELECT floor(total / words)::BIGINT FROM a))) AS slot)),
+    n AS (SELECT k, count(*) * (SELECT words FROM a) AS words FROM q JOIN r ON point >= low AND point < high GROUP BY k),
     c AS (SELECT d.doc_id, size, t.k, source_size, target,
                  coalesce(sum(size) OVER (PARTITION BY t.k ORDER BY hash, d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)

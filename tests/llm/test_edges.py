@@ -206,6 +206,23 @@ def test_mixing(spark, docs_of):
     same = docs_of(["p q r"] * 4, sources=["s"] * 4, ids=[1, 1, None, None])
     assert sorted(r["size"] for r in mixing.shares(same).collect()) == [3] * 4
     assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.mixed(docs.filter("false")).count() == 0 and mixing.mixed(docs_of([None, ""])).count() == 0
+    # Repeated rows and ids: as many copies as their places are taken.
+    texts = ["u v w " * 100] * 30 + ["x y z " * 100] * 30
+    many = docs_of(texts, sources=["s"] * 60, ids=[1] * 30 + list(range(31)[1:]))
+    wanted = sum(round(r["taken"] / 300) for r in mixing.shares(many).collect())
+    assert abs(mixing.mixed(many).count() - wanted) <= 1 and wanted == 90
+
+
+def test_mix_is_in_the_schedules_order(spark, docs_of):
+    """Any stretch of the output holds the sources near their weights."""
+    sources = [f"s{k % 3}" for k in range(3000)]
+    out = mixing.mixed(docs_of([f"d{k} " + "w " * 99 for k in range(3000)], sources=sources)).select("source").collect()
+    total = {s: sum(r["source"] == s for r in out) for s in ("s0", "s1", "s2")}
+    assert len(out) == pytest.approx(4500, abs=10)
+    for low in range(0, len(out) - 500, 250):
+        for s, n in total.items():
+            assert abs(sum(r["source"] == s for r in out[low : low + 500]) - 500 * n / len(out)) <= 12
 
 
 def test_targets_reshare_by_weight(spark):
@@ -299,8 +316,15 @@ def test_chat_round_trip(turns):
 def test_chat_edges(spark):
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "assistant", "a"), (1, 1, None, "x"), (None, None, "user", "")], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat.format_conversations(rows).collect()}
-    assert got[1]["n_turns"] == 3 and got[None]["n_turns"] == 2
-    assert got[None]["text"] == "### user:  </turn>\n### assistant: a </turn>\n"
+    assert got[1]["n_turns"] == 3
+    alone = [(r["n_turns"], r["text"]) for r in chat.format_conversations(rows).collect() if r["conv_id"] is None]
+    assert sorted(alone) == [(1, "### assistant: a </turn>\n"), (1, "### user:  </turn>\n")]
+    clashing = rows.withColumns({"ids": F.lit(1), "n_turns": F.lit("x"), "_salt": F.lit(2)})
+    assert sorted(map(str, chat.format_conversations(clashing).collect())) == sorted(map(str, chat.format_conversations(rows).collect()))
+    long = spark.createDataFrame([(k // 5, k, "assistant", "a b " * 20_000) for k in range(10)], rows.schema)
+    assert [len(r["loss_mask"]) > 200_000 for r in chat.format_conversations(long).collect()] == [True, True]
+    with pytest.raises(Exception, match="tokens"):
+        chat.format_conversations(long, most_tokens=100_000).collect()
     assert chat.format_conversations(rows.filter("false")).count() == 0
 
 
@@ -322,6 +346,36 @@ def test_packing_is_whole_and_full(lengths):
         assert at == n
 
 
+def slow_assign(lengths, capacity):
+    """Number of pieces cut, choosing among all sequences for each piece."""
+    total = sum(lengths)
+    pieces = sorted((n % capacity for n in lengths if n % capacity), reverse=True)
+    rooms = [[0.0, capacity] for _ in range(total // capacity - sum(n // capacity for n in lengths))]
+    rooms += [[0.0, 1 << b] for b in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> b & 1]
+    cut = 0
+    for n in pieces:
+        fit = [r for r in rooms if r[1] >= n]
+        if not fit:
+            cut += 1
+            continue
+        best = min(fit, key=lambda r: r[0])
+        best[0] += packing.cost(n, 1.0, 1 / 1024)
+        best[1] -= n
+    return cut
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 300), min_size=1, max_size=200))
+def test_packing_cuts_only_what_fits_nowhere(lengths):
+    found = packing.assign(lengths, 64)
+    whole = {}
+    for pieces in found:
+        for doc, _, n in pieces:
+            whole.setdefault(doc, []).append(n)
+    cut = sum(len(parts) > n // 64 + (n % 64 > 0) or (n % 64 > 0 and n % 64 not in parts) for n, parts in ((lengths[d], p) for d, p in whole.items()))
+    assert cut <= slow_assign(lengths, 64)
+
+
 def test_word_encoder_equals_tokenizer():
     import public_tokenizers
 
@@ -339,6 +393,8 @@ def test_packing_edges(spark, docs_of):
         assert len(r["ids"]) == r["length"]
     assert total[0] == total[1] == total[2] == 1 and total[5] == 30_001 and len(total) == len(ODD)
     assert packing.pack(docs_of(ODD).filter("false")).count() == 0
+    clashing = docs_of(ODD).withColumns({"start": F.lit("x"), "ids": F.lit("y"), "sequence_id": F.lit("z")})
+    assert sorted(packing.pack(clashing).collect()) == sorted(rows)
 
 
 def test_classifier_edges(spark, docs_of):
@@ -352,6 +408,28 @@ def test_classifier_edges(spark, docs_of):
     assert quality_model.score(docs.filter("false"), none).count() == 0
 
 
+def test_scorer_against_plain_sums():
+    """The cached scorer gives what the mean of all feature vectors gives."""
+    rng = np.random.default_rng(1)
+    model = quality_model.Model(rng.normal(size=quality_model.BUCKETS).astype(np.float32), 0.3)
+    texts = [b"", b" \n", b"a a a b", "été à la plage, l'été".encode(), b"x" * 5000, "日本語 テスト 日本語 日本語".encode(), b"one two two three " * 400]
+    scorer = quality_model.Scorer(model, most_known=3)
+    for _ in range(2):
+        got = scorer.scores(texts)
+        for text, score in zip(texts, got, strict=True):
+            at, share = quality_model.document_features(text)
+            assert score == pytest.approx(1 / (1 + math.exp(-(model.bias + float((model.values[at] * share).sum())))))
+    buckets, owner = quality_model.word_features(["é".encode()])
+    assert len(buckets) == 1 + 2 + 1 and set(owner.tolist()) == {0}  # the word, two pairs and a triple of code points
+
+
+def test_training_rows_are_bounded(spark, docs_of):
+    docs = docs_of(["good text here"] * 50 + ["w " * 50_000] * 3, ids=[1] * 50 + [2, 3, 4])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)] * 2, "doc_id long, quality int")
+    taken = quality_model.training_rows(docs, labels, most=5, most_chars=1000)
+    assert taken.num_rows <= 5 and max(len(t.as_py()) for t in taken.column("text")) <= 1000
+
+
 def test_license_edges(spark, docs_of):
     text = "intro words\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright\nnotice and this permission notice appear in all copies.\nend"
     docs = docs_of([*ODD, text, "version 4 of the GNU General Public License", "this work is licensed under the gnu general public license, version 3!"])
