@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,14 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    Only where none is set (tests on one machine) a temporary one is made and used from then on.
+    Where none is set, a temporary one is made and used from then on if all runs on this machine
+    (``local[...]``, as in tests); on a cluster that is an error.
     """
     context = spark.sparkContext
-    folder = context._jsc.sc().getCheckpointDir()
-    if not folder.isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-        folder = context._jsc.sc().getCheckpointDir()
-    return folder.get()
+    folder = context.getCheckpointDir()
+    if folder is None:
+        wanted = spark.conf.get("spark.checkpoint.dir", None)
+        if wanted is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, wherever it is stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -43,7 +54,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small_batches(df: DataFrame, records: int = 2000, megabytes: int = 32) -> DataFrame:
-    """Bound the Arrow batches that Python functions over ``df`` get, by rows and by bytes."""
+    """Bound the Arrow batches that Python functions over ``df`` get, by rows and by bytes.
+
+    Spark has these settings for a session only, and reads them when a plan runs. They bound memory and
+    change no result.
+    """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

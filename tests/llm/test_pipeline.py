@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+import pytest
 from lumenvec.llm import mixing, quality_rules, simhash
 
 
@@ -66,6 +67,39 @@ def test_stages_against_brute_force(spark, sf):
         texts, stage = after, out
 
 
+def _odd(spark, docs_of):
+    good = "The cat of the house and the dog had a bone. It was in a tree by the road, and he saw it with his own eyes."
+    texts = [None, "", " \n\t", "one", good, good, good.replace("cat", "fox"), "%%% " * 50, "word " * 40_000, good + "\n" + " ".join(f"tok{k}en the of" for k in range(3_000)), good]
+    return docs_of(texts, sources=[None, "a", "b", "b", None, "a", "a", "c", "b", "", None], ids=[0, 1, 2, None, 4, 5, None, 7, 8, 9, 4])
+
+
+def test_stages_on_odd_rows_and_names(spark, sf, docs_of):
+    """Nulls in every column, empty and long texts, repeated ids and names like the stages' own: no stage fails or loses a column."""
+    docs = _odd(spark, docs_of).withColumnsRenamed({"_row": "kept", "fp": "_drop", "target": "slot", "_id": "component_id"})
+    sizes = []
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, docs, sf)
+        if name != "packing":
+            assert out.columns == docs.columns
+        sizes.append(out.count())
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert sizes[:3] == [5, 4, 4] and sizes[-1] >= 2  # the good text stays under id 4 alone
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_run_on_an_empty_and_an_odd_table(spark, docs_of, tmp_path, odd):
+    docs = _odd(spark, docs_of)
+    (docs if odd else docs.filter("false")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(found) == odd
+    if odd:
+        lengths = {}
+        for r in found:
+            lengths.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+        assert {4, 9} & set(lengths) and not {0, 1, 2, 7, 8} & set(lengths)
+        assert all(sum(n for _, n, _ in parts) % parts[0][2] == 0 for parts in lengths.values())
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
