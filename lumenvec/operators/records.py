@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenvec.functions import images as I
+from lumenvec.operators.order import numbered
 
 
 def manifest(images: DataFrame, split: str, image_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def manifest(images: DataFrame, split: str, image_dir: str) -> DataFrame:
     ``index`` counts the names in order; a missing id is taken from the name, or the index where the
     name has none or 0; missing sizes are -1.
     """
-    index = (F.row_number().over(W.orderBy("file_name", "id")) - 1).cast("long")
-    return images.withColumn("index", index).select(
+    order = [F.col("file_name").asc(), F.col("id").asc()]
+    return numbered(images.select("id", "file_name", "height", "width"), order, "index").select(
         "index", F.coalesce(F.col("id").cast("long"), named_id(F.col("file_name"), F.col("index"))).alias("image_id"), "file_name",
         F.concat(F.lit(image_dir.rstrip("/") + "/"), "file_name").alias("path"), F.lit(split).alias("split"),
         F.coalesce(F.col("height").cast("int"), F.lit(-1)).alias("orig_height"), F.coalesce(F.col("width").cast("int"), F.lit(-1)).alias("orig_width"),
@@ -42,16 +42,17 @@ def enriched(rows: DataFrame, *, resize: int, patch_size: int, feature_dim: int,
 
 
 def shard(rows: DataFrame, shard_id: int, shards: int, strategy: str = "mod", index: str = "index") -> DataFrame:
-    """The rows of one shard, by remainder or in contiguous ranges of the dense index."""
+    """The rows of one shard, by remainder or in contiguous ranges of the dense index, and their places in it."""
     if not 0 <= shard_id < shards:
         raise ValueError(f"shard {shard_id} is not within 0..{shards - 1}")
     if strategy == "mod":
-        of = I.mod_shard(F.col(index), shards)
+        of, local = I.mod_shard(F.col(index), shards), F.floor(F.col(index) / shards)
     elif strategy == "contiguous":
-        of = I.contiguous_shard(F.col(index), shards, rows.count())
+        total = rows.count()
+        of, local = I.contiguous_shard(F.col(index), shards, total), F.col(index) - total * shard_id // shards
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    return rows.filter(of == shard_id).withColumn("local_shard_index", (F.row_number().over(W.orderBy(index)) - 1).cast("int"))
+    return rows.filter(of == shard_id).withColumn("local_shard_index", local.cast("int"))
 
 
 def resolved_paths(images: DataFrame, existing: DataFrame, image_root: str) -> DataFrame:

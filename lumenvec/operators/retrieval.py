@@ -81,7 +81,12 @@ def find_image(images: DataFrame, name: str | None = None, index: int | None = N
 
 
 def image_patch_rows(assignments: DataFrame, image_index: int, grid_width: int, metric: str = "cosine") -> DataFrame:
-    """Patches of an image with cluster and distance; the similarity only where it is a cosine."""
+    """Patches of an image with cluster and distance; the similarity only where it is a cosine.
+
+    Distances may not have been stored: without the column they are null.
+    """
+    if "distance" not in assignments.columns:
+        assignments = assignments.withColumn("distance", F.lit(None).cast("double"))
     similarity = 1 - F.col("distance") if metric == "cosine" else F.lit(None).cast("double")
     return assignments.filter(F.col("image_index") == image_index).select(
         "patch_index", I.row_of(F.col("patch_index"), grid_width).alias("patch_row"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -17,8 +18,6 @@ from lumenvec.operators.records import named_id
 
 #: Suffixes of image files (fixed values).
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
-#: Feature sizes of the known backbones (fixed values).
-FEATURE_DIMS = {"small": 384, "base": 768, "large": 1024, "giant": 1536}
 ANNOTATIONS = (
     "images array<struct<id:bigint,file_name:string,height:int,width:int>>, "
     "annotations array<struct<image_id:bigint,caption:string>>"
@@ -61,48 +60,48 @@ def first_match(folder: str, pattern: str, required: bool = True) -> str | None:
 
 
 def directory_manifest(spark: SparkSession, folder: str, split: str) -> DataFrame:
-    """Manifest of all image files below a folder, by path; sizes are not probed (-1)."""
-    from pyspark.sql import Window as W
+    """Manifest of all image files below a folder, by path; sizes from the files' headers, -1 where unknown."""
+    import pyarrow as pa
+
+    from lumenvec.operators.order import numbered
+    from lumenvec.sources.pixels import image_size
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [image_size(c.as_py()) for c in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h for _, h in sizes], pa.int32()), pa.array([w for w, _ in sizes], pa.int32())], ["path", "orig_height", "orig_width"]
+            )
 
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
         .filter(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(*IMAGE_SUFFIXES))
+        .mapInArrow(run, "path string, orig_height int, orig_width int")
     )
-    index = (F.row_number().over(W.orderBy("path")) - 1).cast("long")
-    return files.withColumn("index", index).select(
+    return numbered(files, [F.col("path").asc()], "index").select(
         "index", named_id(I.base_name(F.col("path")), F.col("index")).alias("image_id"), I.base_name(F.col("path")).alias("file_name"), "path",
-        F.lit(split).alias("split"), F.lit(-1).alias("orig_height"), F.lit(-1).alias("orig_width"),
+        F.lit(split).alias("split"), "orig_height", "orig_width",
     )
 
 
-def patch_features(images: DataFrame, model: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """``path, patch_index, vec, ok, error`` by a model from a file's bytes to a patch matrix.
-
-    The model decodes, resizes and scales as it needs. An image that fails gives one row with
-    ``ok`` false and the error.
-    """
-    import pandas as pd
-
-    def run(frames: Iterable[pd.DataFrame]):
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rows += [(path, k, [float(v) for v in x], True, None) for k, x in enumerate(model(content))]
-                except Exception as error:
-                    rows.append((path, None, None, False, str(error)))
-            yield pd.DataFrame(rows, columns=["path", "patch_index", "vec", "ok", "error"])
-
-    return images.select("path", "content").mapInPandas(run, "path string, patch_index int, vec array<float>, ok boolean, error string")
+@contextmanager
+def replaced(path: str, mode: str = "w"):
+    """A file that takes its name when it is whole; if writing fails, what was there stays."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    with tempfile.NamedTemporaryFile(mode, dir=folder, delete=False, encoding=None if "b" in mode else "utf-8") as out:
+        try:
+            yield out
+        except BaseException:
+            os.unlink(out.name)
+            raise
+    os.replace(out.name, path)
 
 
 def write_json(value: object, path: str) -> None:
-    """Small result, whole or not at all: a temporary file takes its name at the end."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8") as out:
+    """Small result, whole or not at all."""
+    with replaced(path) as out:
         json.dump(value, out, ensure_ascii=False, indent=2)
-    os.replace(out.name, path)
 
 
 def append_json_line(value: dict, path: str) -> None:
