@@ -11,25 +11,28 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-#: Values that a matrix on the driver may have: 64 million, half a gigabyte.
+#: Values of 8 bytes that a matrix on the driver may have: 64 million, half a gigabyte. Arrow brings them as they are.
 MOST_VALUES = 1 << 26
 
 
 def small_matrix(rows: DataFrame, key: str, vec: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys and vectors of a small table, by key; shorter vectors are padded with zeros."""
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("d")).first()
-    if size["n"] * max(0, size["d"] or 0) > MOST_VALUES:
+    slim = rows.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
+    size = slim.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("values")).first()
+    width = max(0, size["d"] or 0)
+    if max(size["n"] * width, size["values"]) > MOST_VALUES:
         raise ValueError("too large for the driver")
-    found = sorted((r[0], r[1]) for r in rows.select(key, F.col(vec).cast("array<double>")).collect())
-    out = np.zeros((len(found), size["d"] or 0))
-    for k, (_, v) in enumerate(found):
-        out[k, : len(v)] = v
-    return np.array([k for k, _ in found]), out
+    found = slim.toArrow().sort_by("key").combine_chunks()
+    if not found.num_rows:
+        return np.zeros(0), np.zeros((0, width))
+    return found["key"].to_numpy(), matrix(found["vec"].chunk(0), width)
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -48,15 +51,30 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]
 
 
+#: Distances that are held at once in an assignment.
+DISTANCE_BLOCK = 1 << 22
+
+
 def nearest(x: np.ndarray, c: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest row of ``c`` and its distance: ``1 - cosine`` or squared L2; ties to the first."""
-    if metric == "cosine":
-        similarity = unit(x) @ unit(c).T
-        label = similarity.argmax(1)
-        return label, 1 - similarity[np.arange(len(x)), label]
-    distance = (x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * (x @ c.T)
-    label = distance.argmin(1)
-    return label, distance[np.arange(len(x)), label]
+    """Nearest row of ``c`` and its distance; ties to the first.
+
+    Distances are ``1 - cosine``, squared L2, or minus the inner product (``ip``), for a bounded
+    number of rows at a time.
+    """
+    label, distance = np.zeros(len(x), np.int64), np.zeros(len(x))
+    step = max(1, DISTANCE_BLOCK // max(1, len(c)))
+    centres, squares = (unit(c) if metric == "cosine" else c).T, (c * c).sum(1)
+    for at in range(0, len(x), step):
+        rows = x[at : at + step]
+        if metric == "cosine":
+            d = 1 - unit(rows) @ centres
+        elif metric == "ip":
+            d = -(rows @ centres)
+        else:
+            d = (rows * rows).sum(1)[:, None] + squares - 2 * (rows @ centres)
+        label[at : at + step] = d.argmin(1)
+        distance[at : at + step] = d.min(1)
+    return label, distance
 
 
 def assign(points: DataFrame, centroids: DataFrame, metric: str = "cosine", vec: str = "vec") -> DataFrame:
@@ -71,7 +89,7 @@ def assign(points: DataFrame, centroids: DataFrame, metric: str = "cosine", vec:
 
 
 def assign_to(points: DataFrame, ids: np.ndarray, c: np.ndarray, metric: str, vec: str = "vec") -> DataFrame:
-    if metric not in ("cosine", "l2"):
+    if metric not in ("cosine", "l2", "ip"):
         raise ValueError(f"unknown metric {metric}")
     sent = points.sparkSession.sparkContext.broadcast((ids, c))
     at = points.columns.index(vec)
@@ -92,14 +110,16 @@ def apply_map(points: DataFrame, w: np.ndarray, vec: str = "vec") -> DataFrame:
     """``points`` with ``vec`` replaced by ``vec @ w``."""
     if w.ndim != 2:
         raise ValueError("the map must be a matrix")
-    widest = points.agg(F.max(F.size(vec))).first()[0]
-    if widest is not None and widest > w.shape[0]:
-        raise ValueError(f"vectors of {widest} components do not fit a map of {w.shape[0]} rows")
+    if w.size > MOST_VALUES:
+        raise ValueError("the map is too large to send along")
     sent = points.sparkSession.sparkContext.broadcast(w)
     at = points.columns.index(vec)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            widest = pc.max(pc.list_value_length(batch.column(at))).as_py() or 0
+            if widest > sent.value.shape[0]:
+                raise ValueError(f"vectors of {widest} components do not fit a map of {sent.value.shape[0]} rows")
             y = matrix(batch.column(at), sent.value.shape[0]) @ sent.value
             columns = list(batch.columns)
             columns[at] = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel()))
@@ -114,8 +134,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", kee
 
     Both sides are cut into tiles of at most ``tile`` rows by a hash of the id; each pair of tiles
     is one task's block product of which k rows for each query leave it, and the best of these are
-    taken at the end. Neither side is collected, and no table of pairs arises. Score is the cosine
-    or minus the squared distance; ties go to the smaller id.
+    taken at the end. Neither side is collected, and no table of pairs arises. Score is the cosine,
+    the inner product (``dot``) or minus the squared distance (``l2``); ties go to the smaller id.
     """
     tiles = [max(1, -(-d.count() // tile)) for d in (queries, base)]
 
@@ -142,6 +162,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", kee
                 rows = q[at : at + 512]
                 if metric == "cosine":
                     s = unit(x[rows]) @ unit(x[b]).T
+                elif metric == "dot":
+                    s = x[rows] @ x[b].T
                 else:
                     s = -((x[rows] ** 2).sum(1)[:, None] + (x[b] ** 2).sum(1) - 2 * x[rows] @ x[b].T)
                 if not keep_self:
@@ -178,3 +200,20 @@ def cross_gram(left: DataFrame, right: DataFrame) -> np.ndarray:
     for r in both.mapInArrow(run, StructType([StructField("i", LongType()), StructField("j", LongType()), StructField("x", DoubleType())])).groupBy("i", "j").agg(F.sum("x")).collect():
         out[r[0], r[1]] = r[2]
     return out
+
+
+def gram(points: DataFrame, vec: str = "vec") -> np.ndarray:
+    """``X^T X`` of all vectors, in one pass."""
+    d = points.agg(F.max(F.size(vec))).first()[0] or 0
+    if d * d > MOST_VALUES:
+        raise ValueError("too large for the driver")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d))
+        for batch in batches:
+            x = matrix(batch.column(0), d)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.ListArray.from_arrays(pa.array(np.arange(0, d * d + 1, max(1, d), dtype=np.int32)), pa.array(total.ravel()))], ["i", "row"])
+
+    parts = points.select(F.col(vec).cast("array<double>")).mapInArrow(run, "i long, row array<double>")
+    return small_matrix(parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row")), "i", "row")[1]

@@ -136,3 +136,9 @@ def collage_places(rows: DataFrame, columns: int, rank: str = "rank") -> DataFra
     """Where each ranked item stands in a collage of so many columns."""
     at = F.col(rank) - 1
     return rows.withColumn("tile_row", F.floor(at / columns).cast("int")).withColumn("tile_col", F.pmod(at, F.lit(columns)).cast("int"))
+
+
+def rendered_places(rows: DataFrame, columns: int) -> DataFrame:
+    """Places in a collage of each cluster's ``rows (cluster_id, rank)`` that there are, close together."""
+    at = F.row_number().over(W.partitionBy("cluster_id").orderBy("rank")) - 1
+    return rows.withColumn("_at", at).withColumn("tile_row", F.floor(F.col("_at") / columns).cast("int")).withColumn("tile_col", F.pmod("_at", F.lit(columns)).cast("int")).drop("_at")

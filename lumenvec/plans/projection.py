@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.operators.blocks import MOST_VALUES, apply_map, cross_gram, small_matrix
+from lumenvec.operators.blocks import MOST_VALUES, apply_map, gram, small_matrix
 from lumenvec.operators.prepare import mean_vector
 from lumenvec.operators.solvers import principal, tsne
 from lumenvec.functions import vectors as V
@@ -25,12 +25,10 @@ def project_2d(vision: DataFrame, text: DataFrame, method: str = "pca", w: np.nd
     )
     columns = both.columns
     centred = both.crossJoin(F.broadcast(mean_vector(both))).withColumn("vec", V.minus(F.col("vec"), F.col("mean"))).select(*columns)
-    keyed = centred.select(F.concat_ws(":", "modality", F.col("id").cast("string")).alias("id"), "vec")
-    gram = cross_gram(keyed, keyed)
-    axes, shares = principal(gram)
+    axes, shares = principal(gram(centred))
     flat = apply_map(centred, axes)
     if method == "tsne":
-        ids, x = small_matrix(keyed, "id", "vec")
+        ids, x = small_matrix(centred.select(F.concat_ws(":", "modality", F.col("id").cast("string")).alias("id"), "vec"), "id", "vec")
         if len(ids) ** 2 > MOST_VALUES:
             raise ValueError("too many points for t-SNE; sample first")
         y = tsne(x, x @ axes, min(30, max(5, (len(ids) - 1) // 3)))
@@ -40,3 +38,28 @@ def project_2d(vision: DataFrame, text: DataFrame, method: str = "pca", w: np.nd
     if method != "pca":
         raise ValueError(f"unknown method {method}")
     return flat.select("modality", "id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")), shares.tolist()
+
+
+def panels(vision: DataFrame, text: DataFrame, method: str = "pca", w: np.ndarray | None = None, seed: int = 0) -> DataFrame:
+    """``panel, modality, x, y, id``: the sides as they are, and beside it after the map ``w`` if there is one."""
+    out = project_2d(vision, text, method, seed=seed)[0].select(F.lit("before").alias("panel"), "modality", "id", "x", "y")
+    if w is None:
+        return out
+    return out.unionByName(project_2d(vision, text, method, w, seed)[0].select(F.lit("after").alias("panel"), "modality", "id", "x", "y"))
+
+
+def write_panels(points: DataFrame, path: str, size: int = 480) -> None:
+    """The panels as a scatter plot in a PNG file; for samples, as a plot shows no more."""
+    from lumenvec.sources.files import replaced
+    from lumenvec.sources.pixels import png, scatter
+
+    if points.limit(200_001).count() > 200_000:
+        raise ValueError("too many points for a plot; sample first")
+    found = points.toPandas()
+    colours = {"vision": (31, 119, 180), "text": (255, 127, 14)}
+    shown = [
+        [(part.loc[part["modality"] == m, ["x", "y"]].to_numpy(float), colours[m]) for m in ("vision", "text")]
+        for part in (found[found["panel"] == name] for name in ("before", "after")) if len(part)
+    ]
+    with replaced(path, "wb") as out:
+        out.write(png(scatter(shown, size)))

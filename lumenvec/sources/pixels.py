@@ -320,3 +320,20 @@ def scatter(panels: list[list[tuple[np.ndarray, tuple[int, int, int]]]], size: i
                     out[size - 1 - (at[:, 1] + dy), at[:, 0] + dx] = colour
         shown.append(out)
     return np.concatenate(shown, axis=1)
+
+
+def write_collages(tiles: DataFrame, folder: str, columns: int) -> DataFrame:
+    """A collage of each cluster's ``tiles (cluster_id, rank, tile)`` as PNG, in order of rank: ``cluster_id, tiles, path``.
+
+    A group is the few rows that a top-k query left of a cluster.
+    """
+    from pathlib import Path
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found = table.sort_by("rank")
+        path = Path(folder) / f"cluster_{key[0].as_py():04d}_top{found.num_rows}_collage.png"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(png(collage([decode(t) for t in found["tile"].to_pylist()], columns)))
+        return pa.table({"cluster_id": pa.array([key[0].as_py()], pa.int32()), "tiles": pa.array([found.num_rows], pa.int32()), "path": [str(path)]})
+
+    return tiles.select(F.col("cluster_id").cast("int"), "rank", "tile").groupBy("cluster_id").applyInArrow(run, "cluster_id int, tiles int, path string")

@@ -1,6 +1,6 @@
 import pytest
 
-from lumenvec import catalogue
+from lumenvec import catalogue, file_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
