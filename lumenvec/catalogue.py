@@ -7,7 +7,6 @@ order.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from lumenvec.functions import images as I
 from lumenvec.functions import vectors as V
 from lumenvec.operators import blocks, cluster, matching, metrics, prepare, records, retrieval, sampling, solvers
+from lumenvec.operators.order import shared_folder
 from lumenvec.plans import alignment, image_query, projection
 from lumenvec.streaming import assign as streams
 
@@ -147,21 +147,21 @@ def mean_vector(spark, sf):
 
 
 @query("""SELECT a.id AS i, b.id AS j, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) + 0.0 AS s
- FROM vis a, txt b WHERE a.id < 100 AND b.id < 100""")
+ FROM vis a, txt b""")
 def cos_sim_matrix(spark, sf):
-    pairs = metrics.cos_sim_matrix(_side(spark, sf, 0, 100), _side(spark, sf, 1, 100))
+    pairs = metrics.cos_sim_matrix(_side(spark, sf, 0), _side(spark, sf, 1))
     return pairs.select("i", "j", r6("s").alias("s"))
 
 
 @query("""SELECT a.id AS i, b.id AS j, round(greatest(list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v), 0), 6) + 0.0 AS d
- FROM vis a, txt b WHERE a.id < 100 AND b.id < 100""")
+ FROM vis a, txt b""")
 def pairwise_sq_dists(spark, sf):
-    return metrics.squared_distances(_side(spark, sf, 0, 100), _side(spark, sf, 1, 100)).select("i", "j", r6("d").alias("d"))
+    return metrics.squared_distances(_side(spark, sf, 0), _side(spark, sf, 1)).select("i", "j", r6("d").alias("d"))
 
 
-@query("""SELECT a.id AS i, b.id AS j, round(greatest(1 - list_inner_product(a.v, b.v), 0), 6) + 0.0 AS d FROM vis a, txt b WHERE a.id < 100 AND b.id < 100""")
+@query("""SELECT a.id AS i, b.id AS j, round(greatest(1 - list_inner_product(a.v, b.v), 0), 6) + 0.0 AS d FROM vis a, txt b""")
 def cosine_distances(spark, sf):
-    return metrics.cosine_distances(_side(spark, sf, 0, 100), _side(spark, sf, 1, 100)).select("i", "j", r6("d").alias("d"))
+    return metrics.cosine_distances(_side(spark, sf, 0), _side(spark, sf, 1)).select("i", "j", r6("d").alias("d"))
 
 
 @query("""SELECT id, (j - 1)::INT AS i, round(sum(v[k.i] * (((k.i * 7 + j * 3) % 11) - 5) / 10.0), 6) + 0.0 AS x
@@ -339,10 +339,10 @@ def multi_k_index(spark, sf):
     return found.index.select("k", "cluster_id", "patch_count", "rank")
 
 
-@query(""", s AS (SELECT vec_id // 25 AS image_index, (vec_id % 25)::INT AS patch_index, c AS centroid_id, list_inner_product(u.n, scn.n) AS raw FROM u, scn WHERE vec_id // 25 < 4)
+@query(""", s AS (SELECT vec_id // 25 AS image_index, (vec_id % 25)::INT AS patch_index, c AS centroid_id, list_inner_product(u.n, scn.n) AS raw FROM u, scn)
  SELECT image_index, patch_index, centroid_id, round((raw - min(raw) OVER w) / greatest(max(raw) OVER w - min(raw) OVER w, 1e-12), 6) + 0.0 AS value FROM s WINDOW w AS (PARTITION BY image_index, centroid_id)""")
 def similarity_map(spark, sf):
-    found = retrieval.similarity_map(_patches(spark, sf).filter("image_index < 4"), _small(spark, sf))
+    found = retrieval.similarity_map(_patches(spark, sf), _small(spark, sf))
     return found.withColumn("value", r6("value"))
 
 
@@ -402,7 +402,7 @@ def parse_id_last(spark, sf):
 
 
 def _annotated(spark, sf) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 200")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     k = F.col("doc_id")
     return docs.select(
         F.when(k % 4 != 1, k + 1000).alias("id"), F.concat(F.lit("img"), (997 * k % 1009).cast("string"), F.lit(".jpg")).alias("file_name"),
@@ -411,7 +411,7 @@ def _annotated(spark, sf) -> DataFrame:
 
 
 _MANIFEST = """, dn AS (SELECT CASE WHEN doc_id % 4 <> 1 THEN doc_id + 1000 END AS id, 'img' || (997 * doc_id % 1009) || '.jpg' AS file_name, 997 * doc_id % 1009 AS num,
-  CASE WHEN doc_id % 5 <> 0 THEN 100 + doc_id % 7 END AS height, CASE WHEN doc_id % 5 <> 0 THEN 200 + doc_id % 9 END AS width FROM documents WHERE doc_id < 200),
+  CASE WHEN doc_id % 5 <> 0 THEN 100 + doc_id % 7 END AS height, CASE WHEN doc_id % 5 <> 0 THEN 200 + doc_id % 9 END AS width FROM documents),
  mf AS (SELECT row_number() OVER (ORDER BY file_name, id) - 1 AS index, * FROM dn)
 """
 
@@ -600,12 +600,12 @@ def precision_recall_coverage(spark, sf):
     return found.select(*[F.round(c, 6).alias(c) if c != "coverage_knn_k" else F.col(c) for c in found.columns])
 
 
-@query(""", a AS (SELECT x.id AS i, y.id AS j, list_inner_product(x.n, y.n) AS s FROM vis x, vis y WHERE x.id < y.id AND x.id < 100 AND y.id < 100),
- b AS (SELECT x.id AS i, y.id AS j, list_inner_product(x.n, y.n) AS s FROM txt x, txt y WHERE x.id < y.id AND x.id < 100 AND y.id < 100),
+@query(""", a AS (SELECT x.id AS i, y.id AS j, list_inner_product(x.n, y.n) AS s FROM vis x, vis y WHERE x.id < y.id),
+ b AS (SELECT x.id AS i, y.id AS j, list_inner_product(x.n, y.n) AS s FROM txt x, txt y WHERE x.id < y.id),
  r AS (SELECT rank() OVER (ORDER BY a.s) + (count(*) OVER (PARTITION BY a.s) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b.s) + (count(*) OVER (PARTITION BY b.s) - 1) / 2.0 AS rb FROM a JOIN b USING (i, j))
  SELECT round(corr(ra, rb), 6) + 0.0 AS pairwise_spearman FROM r""")
 def pairwise_spearman(spark, sf):
-    v, t = (prepare.of_unit_length(_side(spark, sf, k, 100)) for k in (0, 1))
+    v, t = (prepare.of_unit_length(_side(spark, sf, k)) for k in (0, 1))
     return metrics.pairwise_spearman(v, t).select(r6("pairwise_spearman").alias("pairwise_spearman"))
 
 
@@ -615,17 +615,17 @@ def retrieval_top1_rank(spark, sf):
     return _rounded(metrics.retrieval_top1_rank(_side(spark, sf, 0), _side(spark, sf, 1)), ("top1", "avg_rank"))
 
 
-_SINK = """, k AS (SELECT a.c AS i, b.c AS j, -(1 - list_inner_product(a.n, b.n)) / 0.1 AS k FROM scn a, lcn b WHERE b.c < 12),
+_SINK = """, k AS (SELECT a.c AS i, b.c AS j, -(1 - list_inner_product(a.n, b.n)) / 0.1 AS k FROM scn a, lcn b),
  u1 AS (SELECT i, -ln(10) - (ln(sum(exp(k - m))) + max(m)) AS u FROM (SELECT *, max(k) OVER (PARTITION BY i) AS m FROM k) GROUP BY i),
- v1 AS (SELECT j, -ln(12) - (ln(sum(exp(x - m))) + max(m)) AS v FROM (SELECT *, max(x) OVER (PARTITION BY j) AS m FROM (SELECT i, j, k + u AS x FROM k JOIN u1 USING (i))) GROUP BY j),
+ v1 AS (SELECT j, -ln(40) - (ln(sum(exp(x - m))) + max(m)) AS v FROM (SELECT *, max(x) OVER (PARTITION BY j) AS m FROM (SELECT i, j, k + u AS x FROM k JOIN u1 USING (i))) GROUP BY j),
  u2 AS (SELECT i, -ln(10) - (ln(sum(exp(x - m))) + max(m)) AS u FROM (SELECT *, max(x) OVER (PARTITION BY i) AS m FROM (SELECT i, j, k + v AS x FROM k JOIN v1 USING (j))) GROUP BY i),
- v2 AS (SELECT j, -ln(12) - (ln(sum(exp(x - m))) + max(m)) AS v FROM (SELECT *, max(x) OVER (PARTITION BY j) AS m FROM (SELECT i, j, k + u AS x FROM k JOIN u2 USING (i))) GROUP BY j)
+ v2 AS (SELECT j, -ln(40) - (ln(sum(exp(x - m))) + max(m)) AS v FROM (SELECT *, max(x) OVER (PARTITION BY j) AS m FROM (SELECT i, j, k + u AS x FROM k JOIN u2 USING (i))) GROUP BY j)
  SELECT i, j, round(exp(k + u + v), 6) + 0.0 AS p FROM k JOIN u2 USING (i) JOIN v2 USING (j)"""
 
 
 def _plan(spark, sf, iters: int) -> DataFrame:
     a = blocks.unit(blocks.small_matrix(_small(spark, sf), "centroid_id", "vec")[1])
-    b = blocks.unit(blocks.small_matrix(_large(spark, sf), "centroid_id", "vec")[1])[:12]
+    b = blocks.unit(blocks.small_matrix(_large(spark, sf), "centroid_id", "vec")[1])
     p = solvers.sinkhorn(1 - a @ b.T, 0.1, iters)
     rows = [(i, j, float(p[i, j])) for i in range(p.shape[0]) for j in range(p.shape[1])]
     return spark.createDataFrame(rows, "i int, j int, p double").select("i", "j", r6("p").alias("p"))
@@ -655,7 +655,7 @@ def cluster_wasserstein(spark, sf):
 
 @query()
 def distribution_metrics(spark, sf):
-    found = metrics.distribution_metrics(_side(spark, sf, 0), _side(spark, sf, 1), max_points=200, mmd_points=100, k=5, spearman_points=60, gw_points=40, gw_iters=5)
+    found = metrics.distribution_metrics(_side(spark, sf, 0), _side(spark, sf, 1), k=8)
     rows = [(k, None if v is None else round(float(v), 6)) for k, v in sorted(found.items())]
     return spark.createDataFrame(rows, "metric string, value double")
 
@@ -699,7 +699,7 @@ def pca_2d(spark, sf):
 
 @query()
 def tsne_2d(spark, sf):
-    points, _ = projection.project_2d(_side(spark, sf, 0, 60), _side(spark, sf, 1, 60), "tsne")
+    points, _ = projection.project_2d(_side(spark, sf, 0), _side(spark, sf, 1), "tsne")
     return points
 
 
@@ -713,9 +713,7 @@ def stream_cluster_counts(spark, sf):
         .select(F.col("embedding").cast("array<double>").alias("vec"))
     )
     name = f"counts_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    checkpoint = f"{shared}/{name}" if shared else tempfile.mkdtemp(prefix="stream-")
-    running = streams.running_counts(arriving, _small(spark, sf), name, checkpoint)
+    running = streams.running_counts(arriving, _small(spark, sf), name, f"{shared_folder(spark)}/{name}")
     running.processAllAvailable()
     running.stop()
     return spark.table(name)

@@ -6,7 +6,7 @@ more than its bound.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 #: Values of 8 bytes that a matrix on the driver may have: 64 million, half a gigabyte. Arrow brings them as they are.
@@ -129,15 +130,16 @@ def apply_map(points: DataFrame, w: np.ndarray, vec: str = "vec") -> DataFrame:
     return points.mapInArrow(run, schema)
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", keep_self: bool = True, tile: int = 4096) -> DataFrame:
-    """``id, rank, other_id, score`` of the ``k`` best of ``base (id, vec)`` for each of ``queries (id, vec)``.
+def tiled(left: DataFrame, right: DataFrame, block: Callable, schema: str, extra: str | None = None, tile: int = 4096) -> DataFrame:
+    """What ``block`` makes of each pair of tiles of two tables ``(id, vec)``.
 
-    Both sides are cut into tiles of at most ``tile`` rows by a hash of the id; each pair of tiles
-    is one task's block product of which k rows for each query leave it, and the best of these are
-    taken at the end. Neither side is collected, and no table of pairs arises. Score is the cosine,
-    the inner product (``dot``) or minus the squared distance (``l2``); ties go to the smaller id.
+    Both are cut into tiles of about ``tile`` rows by a hash of the id, and each pair of tiles is one
+    task's work; neither side is collected or broadcast, and no table of pairs arises but what
+    ``block`` returns. It gets the ids and vectors of both, in order of id, and between them the
+    left's column ``extra`` (None without one), and returns a list of columns.
     """
-    tiles = [max(1, -(-d.count() // tile)) for d in (queries, base)]
+    tiles = [max(1, -(-d.count() // tile)) for d in (left, right)]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def dealt(rows: DataFrame, side: int) -> DataFrame:
         own = F.pmod(F.xxhash64("id"), F.lit(tiles[side])).cast("int")
@@ -145,38 +147,57 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", kee
         mine, theirs = ("qt", "bt") if side == 0 else ("bt", "qt")
         return rows.select(
             F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"),
+            (F.col(extra).cast("double") if extra and side == 0 else F.lit(None).cast("double")).alias("extra"),
             F.lit(side).alias("side"), own.alias(mine), others.alias(theirs),
         )
 
-    def block(key: tuple, table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids = table.column("id").to_numpy()
-        vec = table.column("vec").combine_chunks()
-        width = int(pc.max(pc.list_value_length(vec)).as_py() or 0)
-        x = matrix(vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec, width)
-        q, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        b = b[np.argsort(ids[b], kind="stable")]
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("id", "ascending")]).combine_chunks()
+        ids, vec = table["id"].to_numpy(), table["vec"].chunk(0)
+        x = matrix(vec, int(pc.max(pc.list_value_length(vec)).as_py() or 0))
+        n = int((table["side"].to_numpy() == 0).sum())
+        if n in (0, len(ids)):
+            return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+        columns = block(ids[:n], x[:n], table["extra"].to_numpy()[:n] if extra else None, ids[n:], x[n:])
+        return pa.table(dict(zip(names, map(pa.array, columns), strict=True)))
+
+    both = dealt(left, 0).unionByName(dealt(right, 1))
+    return both.groupBy("qt", "bt").applyInArrow(run, schema)
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", keep_self: bool = True, tile: int = 4096) -> DataFrame:
+    """``id, rank, other_id, score`` of the ``k`` best of ``base (id, vec)`` for each of ``queries (id, vec)``.
+
+    k rows for each query leave a pair of tiles, and the best of these are taken at the end. Score is
+    the cosine, the inner product (``dot``) or minus the squared distance (``l2``); ties go to the
+    smaller id.
+    """
+
+    def block(qi: np.ndarray, q: np.ndarray, _, bi: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
         out = []
-        if len(q) and len(b):
-            for at in range(0, len(q), 512):
-                rows = q[at : at + 512]
-                if metric == "cosine":
-                    s = unit(x[rows]) @ unit(x[b]).T
-                elif metric == "dot":
-                    s = x[rows] @ x[b].T
-                else:
-                    s = -((x[rows] ** 2).sum(1)[:, None] + (x[b] ** 2).sum(1) - 2 * x[rows] @ x[b].T)
-                if not keep_self:
-                    s = np.where(ids[rows][:, None] == ids[b], -np.inf, s)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, best, 1)
-                i = np.repeat(np.arange(len(rows)), best.shape[1])
-                good = score.ravel() > -np.inf
-                out.append((ids[rows][i][good], ids[b][best.ravel()][good], score.ravel()[good]))
-        columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, float))]
-        return pa.table({"id": columns[0], "other_id": columns[1], "score": columns[2]})
-
-    pairs = dealt(queries, 0).unionByName(dealt(base, 1)).groupBy("qt", "bt").applyInArrow(block, "id long, other_id long, score double")
+        if metric == "cosine":
+            q, b = unit(q), unit(b)
+        for at in range(0, len(q), 512):
+            rows = q[at : at + 512]
+            s = rows @ b.T
+            if metric == "l2":
+                s = -((rows * rows).sum(1)[:, None] + (b * b).sum(1) - 2 * s)
+            if not keep_self:
+                s = np.where(qi[at : at + 512, None] == bi, -np.inf, s)
+            if k < s.shape[1]:  # all that reach the k-th score, then in order
+                least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+            else:
+                least = np.full((len(s), 1), -np.inf)
+            i, j = np.nonzero((s >= least) & (s > -np.inf))
+            order = np.lexsort((j, -s[i, j], i))
+            i, j = i[order], j[order]
+            first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+            place = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0)) if len(i) else i
+            i, j = i[place < k], j[place < k]
+            out.append((qi[at + i], bi[j], s[i, j]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+    pairs = tiled(queries, base, block, "id long, other_id long, score double", tile=tile)
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", F.col("rank").cast("int").alias("rank"), "other_id", "score")
 

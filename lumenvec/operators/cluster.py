@@ -6,16 +6,19 @@ not grow: only the k x d centroids live on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.functions import vectors as V
-from lumenvec.operators.blocks import assign_to, small_matrix, unit
+from lumenvec.operators.blocks import assign_to, matrix, nearest, small_matrix, unit
+from lumenvec.operators.order import checkpointed
 from lumenvec.operators.sampling import random_centroids, sample_points
 
 RESEED = 10_000
@@ -51,12 +54,37 @@ def group_means(points: DataFrame, key: str, vec: str = "vec") -> DataFrame:
     )
 
 
+def _sums(rows: DataFrame, c: np.ndarray, metric: str) -> DataFrame:
+    """``c, n, loss, total`` of the assignment of ``rows (vec)`` to centroids: of a task's points k sums leave it."""
+    sent = rows.sparkSession.sparkContext.broadcast(c)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        total, counts, loss = np.zeros_like(c), np.zeros(len(c), np.int64), np.zeros(len(c))
+        for batch in batches:
+            x = matrix(batch.column(0), c.shape[1])
+            label, distance = nearest(x, c, metric)
+            order = np.argsort(label, kind="stable")
+            seen, starts = np.unique(label[order], return_index=True)
+            total[seen] += np.add.reduceat(x[order], starts) if len(seen) else 0
+            counts += np.bincount(label, minlength=len(c))
+            loss += np.bincount(label, distance, len(c))
+        seen = np.flatnonzero(counts)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(seen) * c.shape[1] + 1, max(1, c.shape[1]), dtype=np.int32)), pa.array(total[seen].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen]), pa.array(loss[seen]), lists], ["c", "n", "loss", "x"])
+
+    parts = rows.mapInArrow(run, "c int, n long, loss double, x array<double>")
+    return parts.groupBy("c").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), Summarizer.sum(array_to_vector("x")).alias("total"))
+
+
 @dataclass
 class KMeansVec:
     """Lloyd's iterations from given or sampled centroids.
 
-    metric: ``cosine`` (points and centroids of unit length), ``l2``, or ``ip`` for ``cosine``.
-    empty_cluster_policy: ``keep`` the old centroid, or ``reinit`` from a salted sample.
+    metric: ``cosine`` (points and centroids of unit length), ``l2``, or ``ip`` (largest inner product,
+    nothing scaled). empty_cluster_policy: ``keep`` the old centroid, or ``reinit`` from a salted
+    sample. Training takes at most ``points_per_centroid`` times k points, if that is given, by a
+    salted sample; all of them otherwise.
     """
 
     k: int
@@ -66,6 +94,7 @@ class KMeansVec:
     empty_cluster_policy: str = "keep"
     key: str = "id"
     vec: str = "vec"
+    points_per_centroid: int | None = None
 
     def __post_init__(self):
         if self.num_iters < 1:
@@ -76,7 +105,9 @@ class KMeansVec:
             raise ValueError(f"unknown policy {self.empty_cluster_policy}")
 
     def fit(self, points: DataFrame, init_centroids: DataFrame | np.ndarray | None = None) -> Fitted:
-        metric = "cosine" if self.metric == "ip" else self.metric
+        metric = self.metric
+        if self.points_per_centroid is not None:
+            points = checkpointed(sample_points(points, self.points_per_centroid * self.k, self.seed, self.key))
         if init_centroids is None:
             init_centroids = random_centroids(points, self.k, self.seed, self.key, self.vec).withColumnRenamed(self.vec, "vec")
         if isinstance(init_centroids, np.ndarray):
@@ -91,17 +122,12 @@ class KMeansVec:
             rows = rows.withColumn("_length", V.norm(F.col(self.vec))).withColumn(self.vec, V.normalized(F.col(self.vec), F.col("_length"))).drop("_length")
         fitted = Fitted(ids, c, metric)
         for turn in range(self.num_iters):
-            sums = (
-                assign_to(rows, ids, c, metric, self.vec).groupBy("cluster_id")
-                .agg(Summarizer.mean(array_to_vector(self.vec)).alias("mean"), F.count("*").alias("n"), F.sum("distance").alias("loss"))
-                .collect()
-            )
             counts = np.zeros(len(ids), np.int64)
-            new, place, loss = c.copy(), {int(i): k for k, i in enumerate(ids)}, 0.0
-            for r in sums:
-                at = place[r["cluster_id"]]
+            new, loss = c.copy(), 0.0
+            for r in _sums(rows.select(self.vec), c, metric).collect():  # k rows at most
+                at = r["c"]
                 counts[at], loss = r["n"], loss + r["loss"]
-                new[at, : r["mean"].size] = r["mean"].toArray()
+                new[at] = r["total"].toArray() / r["n"]
             empty = np.flatnonzero(counts == 0)
             if len(empty) and self.empty_cluster_policy == "reinit":
                 _, spare = small_matrix(sample_points(rows, len(empty), self.seed + RESEED + turn, self.key), self.key, self.vec)

@@ -12,11 +12,17 @@ from lumenvec.operators.blocks import small_matrix, unit
 from lumenvec.operators.solvers import hungarian
 
 
+#: Centroids that may be broadcast.
+MOST_CENTROIDS = 20_000
+
+
 def match_candidates(small: DataFrame, large: DataFrame) -> DataFrame:
     """Every pair of centroids ``(centroid_id, vec)`` with its cosine, competition rank and gap.
 
-    Both are centroid tables, of a size the caller chose; the smaller is broadcast.
+    Both are centroid tables, of a size the caller chose; the smaller is broadcast after a check.
     """
+    if small.limit(MOST_CENTROIDS + 1).count() > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} small centroids")
     s = small.select(F.col("centroid_id").alias("small_index"), V.doubles("vec").alias("_s")).withColumn("_sn", V.norm(F.col("_s")))
     t = large.select(F.col("centroid_id").alias("large_index"), V.doubles("vec").alias("_t")).withColumn("_tn", V.norm(F.col("_t")))
     cosine = V.dot(F.col("_s"), F.col("_t")) / (F.greatest("_sn", F.lit(V.FLOOR)) * F.greatest("_tn", F.lit(V.FLOOR)))

@@ -1,28 +1,28 @@
 """How two sets of vectors are spread: means, kernels, transport, neighbours, ranks.
 
-The pairwise metrics are quadratic by nature and meant for samples, whose size is a parameter;
-pairs are never written out or kept. Sampled sides are broadcast after a check of their size.
+Pairs are met in tiles (``blocks.tiled``): what leaves a pair of tiles is k rows a point, a count or a
+sum. Only the matrices themselves, and the rank correlation over all pairs, are tables of pairs.
+Work stays quadratic, so large sides are sampled first, at the caller's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenvec.functions import vectors as V
-from lumenvec.operators import prepare, sampling
-from lumenvec.operators.blocks import matrix, small_matrix
+from lumenvec.operators import sampling
+from lumenvec.operators.blocks import knn, small_matrix, tiled
 from lumenvec.operators.cluster import KMeansVec, spread_centroids
+from lumenvec.operators.order import checkpointed, mean_ranks, numbered
 from lumenvec.operators.prepare import mean_vector, preprocessed
 from lumenvec.operators.solvers import gromov_wasserstein, hungarian
 
-#: Largest sample that the pairwise metrics take.
-MOST_POINTS = 20_000
+#: Largest side whose distances to itself are held on the driver, for Gromov-Wasserstein.
+MOST_POINTS = 5_000
 
 
 def _checked(points: DataFrame) -> DataFrame:
@@ -31,43 +31,35 @@ def _checked(points: DataFrame) -> DataFrame:
     return points
 
 
+def _same_width(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    width = max(x.shape[1], y.shape[1])
+    return tuple(np.pad(z, ((0, 0), (0, width - z.shape[1]))) for z in (x, y))
+
+
+def _values(x: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    d = x @ y.T
+    if kind == "cosine_distance":
+        return np.maximum(1 - d, 0)
+    if kind == "squared":
+        return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * d, 0)
+    return d
+
+
 def pair_values(left: DataFrame, right: DataFrame, kind: str, upper: bool = False) -> DataFrame:
-    """``i, j, d`` for all pairs of two samples ``(id, vec)``, by block products.
+    """``i, j, d`` for all pairs of two sides ``(id, vec)``, by block products.
 
     kind: ``dot``; ``cosine_distance`` (one minus the product, clamped at 0: a cosine only for unit
     vectors); ``squared`` (squared distance by expansion, clamped at 0). With ``upper`` only pairs
-    with i < j. The right side is sent along, its size checked.
+    with i < j.
     """
-    ids, y = small_matrix(_checked(right), "id", "vec")
-    rows = left.select(F.col("id").cast("long").alias("id"), V.doubles("vec").alias("vec"))
-    widest = max(y.shape[1], rows.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0])
-    y = np.pad(y, ((0, 0), (0, widest - y.shape[1])))
-    sent = left.sparkSession.sparkContext.broadcast((ids.astype(np.int64), y))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, y = sent.value
-        yy = (y * y).sum(1)
-        for batch in batches:
-            mine, x = batch.column(0).to_numpy(), matrix(batch.column(1), widest)
-            step = max(1, (1 << 20) // max(1, len(ids)))
-            for at in range(0, len(mine), step):
-                block, i = x[at : at + step], mine[at : at + step]
-                d = block @ y.T
-                if kind == "cosine_distance":
-                    d = np.maximum(1 - d, 0)
-                elif kind == "squared":
-                    d = np.maximum((block * block).sum(1)[:, None] + yy - 2 * d, 0)
-                i, j, d = np.repeat(i, len(ids)), np.tile(ids, len(block)), d.ravel()
-                if upper:
-                    i, j, d = _above(i, j, d)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(d)], ["i", "j", "d"])
-
-    return rows.mapInArrow(run, "i long, j long, d double")
-
-
-def _above(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keep = i < j
-    return i[keep], j[keep], d[keep]
+
+    def block(i: np.ndarray, x: np.ndarray, _, j: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        d = _values(*_same_width(x, y), kind).ravel()
+        i, j = np.repeat(i, len(j)), np.tile(j, len(i))
+        keep = i < j if upper else slice(None)
+        return [i[keep], j[keep], d[keep]]
+
+    return tiled(left, right, block, "i long, j long, d double", tile=1024)
 
 
 def all_pair_cosine_mean(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -100,29 +92,16 @@ def cosine_distances(left: DataFrame, right: DataFrame) -> DataFrame:
     return pair_values(left, right, "cosine_distance")
 
 
-def _fold_squared(left: DataFrame, y: np.ndarray, fold: Callable[[Iterable[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
-    """What ``fold`` makes, in each task, of its blocks of squared distances: no pair leaves the task."""
-    sent = left.sparkSession.sparkContext.broadcast(y)
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = sent.value
-        yy = (y * y).sum(1)
-        step = max(1, (1 << 20) // max(1, len(y)))
+def _fold_squared(left: DataFrame, right: DataFrame, fold: Callable[[np.ndarray], list[np.ndarray]], schema: str) -> DataFrame:
+    """What ``fold`` makes of the squared distances of each pair of tiles: no pair leaves the task."""
 
-        def squares() -> Iterator[np.ndarray]:
-            for batch in batches:
-                whole = matrix(batch.column(0), y.shape[1])
-                for at in range(0, len(whole), step):
-                    x = whole[at : at + step]
-                    yield np.maximum((x * x).sum(1)[:, None] + yy - 2 * x @ y.T, 0).ravel()
+    def block(i: np.ndarray, x: np.ndarray, _, j: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        return fold(_values(*_same_width(x, y), "squared").ravel())
 
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in fold(squares())], names)
+    return tiled(left, right, block, schema, tile=2048)
 
-    return left.select(V.doubles("vec").alias("vec")).mapInArrow(run, schema)
 
-
-def _lower_median(sides: list[tuple[DataFrame, np.ndarray]], least: float) -> float | None:
+def _lower_median(sides: list[tuple[DataFrame, DataFrame]], least: float) -> float | None:
     """Exact lower median of the squared distances above ``least`` over all ``sides``.
 
     The bit patterns of positive doubles are in the order of their values, so it is found 16 bits
@@ -131,13 +110,11 @@ def _lower_median(sides: list[tuple[DataFrame, np.ndarray]], least: float) -> fl
     prefix, rank = 0, None
     for shift in (48, 32, 16, 0):
 
-        def count(blocks: Iterable[np.ndarray], shift: int = shift, prefix: int = prefix) -> list[np.ndarray]:
-            bins = np.zeros(1 << 16, np.int64)
-            for d in blocks:
-                bits = d[d > least].view(np.uint64)
-                if shift < 48:
-                    bits = bits[(bits >> np.uint64(shift + 16)) == prefix]
-                bins += np.bincount(((bits >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+        def count(d: np.ndarray, shift: int = shift, prefix: int = prefix) -> list[np.ndarray]:
+            bits = d[d > least].view(np.uint64)
+            if shift < 48:
+                bits = bits[(bits >> np.uint64(shift + 16)) == prefix]
+            bins = np.bincount(((bits >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
             seen = np.flatnonzero(bins)
             return [seen, bins[seen]]
 
@@ -165,18 +142,13 @@ def mmd_rbf(left: DataFrame, right: DataFrame, sigma: float | None = None) -> Da
     Width by default: root of half the lower median of the positive distances (self pairs and
     rounding noise below 1e-9 left out), at least 1e-6; 1 if there is none.
     """
-    left, right = prepare.padded_pair(left, right)
-    x, y = (small_matrix(_checked(d), "id", "vec")[1] for d in (left, right))
-    sides = [(left, x), (right, y), (left, y)]
+    sides = [(left, left), (right, right), (left, right)]
     if sigma is None:
         median = _lower_median(sides, 1e-9)
         sigma = 1.0 if median is None else max((median / 2) ** 0.5, 1e-6)
 
-    def kernel(blocks: Iterable[np.ndarray]) -> list[np.ndarray]:
-        total, n = 0.0, 0
-        for d in blocks:
-            total, n = total + float(np.exp(-d / (2 * sigma * sigma)).sum()), n + len(d)
-        return [np.array([total]), np.array([n])]
+    def kernel(d: np.ndarray) -> list[np.ndarray]:
+        return [np.array([np.exp(-d / (2 * sigma * sigma)).sum()]), np.array([len(d)])]
 
     sums = None
     for sign, (rows, other) in zip((1.0, 1.0, -2.0), sides, strict=True):
@@ -190,11 +162,8 @@ def kth_radius(points: DataFrame, k: int) -> DataFrame:
     n = points.count()
     if n < 2:
         raise ValueError("fewer than two points")
-    near = W.partitionBy("i").orderBy("d", "j")
-    return (
-        cosine_distances(points, points).filter("i <> j").withColumn("r", F.row_number().over(near))
-        .filter(F.col("r") == min(k, n - 1)).select(F.col("i").alias("id"), F.col("d").alias("radius"))
-    )
+    near = knn(points, points, min(k, n - 1), "dot", keep_self=False)
+    return near.filter(F.col("rank") == min(k, n - 1)).select("id", F.greatest(1 - F.col("score"), F.lit(0.0)).alias("radius"))
 
 
 def precision_recall_coverage(vision: DataFrame, text: DataFrame, k: int) -> DataFrame:
@@ -203,9 +172,9 @@ def precision_recall_coverage(vision: DataFrame, text: DataFrame, k: int) -> Dat
     A point is inside if its nearest point of the other side has it within that point's radius to
     its own k-th neighbour.
     """
-    d = cosine_distances(vision, text)
-    of_text = d.groupBy("j").agg(F.min(F.struct("d", "i")).alias("m")).select("j", F.col("m.i").alias("id"), F.col("m.d").alias("d"))
-    of_vision = d.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select("i", F.col("m.j").alias("id"), F.col("m.d").alias("d"))
+    of_text, of_vision = (
+        knn(a, b, 1, "dot").select(F.col("other_id").alias("id"), F.greatest(1 - F.col("score"), F.lit(0.0)).alias("d")) for a, b in ((text, vision), (vision, text))
+    )
 
     def inside(near: DataFrame, points: DataFrame, share: str, seen: str) -> DataFrame:
         n = points.count()
@@ -227,27 +196,28 @@ def precision_recall_coverage(vision: DataFrame, text: DataFrame, k: int) -> Dat
 def pairwise_spearman(vision: DataFrame, text: DataFrame) -> DataFrame:
     """Rank correlation of both sides' similarities over pairs of equal ids; ties get mean ranks.
 
-    Ranks are global, so these windows run in one task: meant for samples of some thousand points.
+    A table of n * (n - 1) / 2 pairs, ranked by ranges of the values.
     """
 
     def similarities(side: DataFrame, name: str) -> DataFrame:
         return pair_values(side, side, "dot", upper=True).withColumnRenamed("d", name)
 
-    def ranks(column: str):
-        return F.rank().over(W.orderBy(column)) + (F.count("*").over(W.partitionBy(column)) - 1) / 2
-
-    both = similarities(vision, "a").join(similarities(text, "b"), ["i", "j"])
-    ranked = both.select(ranks("a").alias("ra"), ranks("b").alias("rb"))
+    both = checkpointed(similarities(vision, "a").join(similarities(text, "b"), ["i", "j"]).select("a", "b"))
+    ranked = mean_ranks(mean_ranks(both, "a", "ra"), "b", "rb")
     r = F.corr("ra", "rb")
     return ranked.agg(F.when(F.isnan(r) | r.isNull(), 0.0).otherwise(r).alias("pairwise_spearman"))
 
 
 def retrieval_top1_rank(left: DataFrame, right: DataFrame) -> DataFrame:
     """Share of points whose own partner is the most similar one, and the partner's average rank."""
-    unit_l, unit_r = preprocessed(left, "l2"), preprocessed(right, "l2")
-    s = pair_values(unit_l, unit_r, "dot").withColumnRenamed("d", "s")
-    own = F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).over(W.partitionBy("i"))
-    ranks = s.withColumn("own", own).groupBy("i").agg((1 + F.count_if(F.col("s") > F.col("own"))).alias("r"))
+    unit_l, unit_r = preprocessed(left.select("id", "vec"), "l2"), preprocessed(right.select("id", "vec"), "l2")
+    own = unit_l.join(unit_r.select("id", F.col("vec").alias("_other")), "id").select("id", "vec", V.dot(F.col("vec"), F.col("_other")).alias("own"))
+
+    def better(i: np.ndarray, x: np.ndarray, own: np.ndarray, j: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        # Beyond rounding: an equal score does not rank before the partner's.
+        return [i, ((x @ y.T > own[:, None] + 1e-12) & (i[:, None] != j)).sum(1)]
+
+    ranks = tiled(own, unit_r, better, "id long, n long", extra="own").groupBy("id").agg((1 + F.sum("n")).alias("r"))
     return ranks.agg(F.avg((F.col("r") == 1).cast("double")).alias("top1"), F.avg("r").alias("avg_rank"))
 
 
@@ -283,7 +253,7 @@ def distribution_metrics(
     takes the first ids.
     """
     v, t, paired = sampling.sample_pair(vision, text, max_points, seed)
-    v, t = preprocessed(v, preprocess), preprocessed(t, preprocess)
+    v, t = (checkpointed(preprocessed(d, preprocess)) for d in (v, t))
     out = all_pair_cosine_mean(v, t).first().asDict()
     out["same_index_cosine_mean"] = paired_cosine_mean(v, t).first()[0] if paired else None
     sv, st = sampling.sample_points(v, mmd_points, seed), sampling.sample_points(t, mmd_points, seed + 1)
@@ -291,8 +261,7 @@ def distribution_metrics(
     out["kmeans_wasserstein"], out["kmeans_k"] = cluster_wasserstein(v, t, k, seed)
     out |= precision_recall_coverage(v, t, knn_k).first().asDict()
     n = min(spearman_points, v.count(), t.count())
-    place = F.row_number().over(W.orderBy("id")) - 1
-    first = [d.withColumn("_at", place).filter(F.col("_at") < n).select(F.col("_at").alias("id"), "vec") for d in (v, t)]
+    first = [numbered(d.select("id", "vec"), [F.col("id").asc()], "_at").filter(F.col("_at") < n).select(F.col("_at").alias("id"), "vec") for d in (v, t)]
     out |= pairwise_spearman(*first).first().asDict() | {"pairwise_spearman_n": n}
     gv, gt = sampling.sample_points(v, gw_points, seed), sampling.sample_points(t, gw_points, seed + 1)
     out |= {"gw_distance": gw_distance(gv, gt, gw_epsilon, gw_iters, sinkhorn_iters), "gw_epsilon": gw_epsilon}

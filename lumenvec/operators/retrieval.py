@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenvec.functions import images as I
 from lumenvec.functions import vectors as V
+from lumenvec.operators.blocks import DISTANCE_BLOCK, matrix, small_matrix, unit
 
 
 def parse_clusters(text: str, k: int) -> list[int]:
@@ -116,18 +121,28 @@ def patch_grid(assignments: DataFrame, image_index: int, grid_width: int) -> Dat
 def similarity_map(patches: DataFrame, centroids: DataFrame, metric: str = "cosine") -> DataFrame:
     """``image_index, patch_index, centroid_id, value``: similarity scaled to 0..1 over each image.
 
-    The centroids are few: a table of k rows, which the caller chose, is broadcast.
+    A pass over the patches with the centroids sent along, as in an assignment.
     """
-    a, b = V.doubles("vec"), F.col("_c")
-    rows = patches.crossJoin(F.broadcast(centroids.select("centroid_id", V.doubles("vec").alias("_c"))))
-    if metric == "cosine":
-        raw = V.dot(a, b) / (F.greatest(V.norm(a), F.lit(V.FLOOR)) * F.greatest(V.norm(b), F.lit(V.FLOOR)))
-    else:
-        raw = -V.squared_distance(a, b)
+    ids, c = small_matrix(centroids, "centroid_id", "vec")
+    sent = patches.sparkSession.sparkContext.broadcast(c)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for batch in batches:
+            step = max(1, DISTANCE_BLOCK // max(1, len(c)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = matrix(part.column(2), c.shape[1])
+                raw = unit(x) @ unit(c).T if metric == "cosine" else -((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T)
+                columns = [np.repeat(part.column(k).to_numpy(), len(c)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.tile(ids.astype(np.int32), len(x))), pa.array(raw.ravel())], ["image_index", "patch_index", "centroid_id", "raw"])
+
+    rows = patches.select(F.col("image_index").cast("long"), F.col("patch_index").cast("int"), V.doubles("vec").alias("vec")).mapInArrow(
+        run, "image_index long, patch_index int, centroid_id int, raw double"
+    )
     over = W.partitionBy("image_index", "centroid_id")
     return (
-        rows.select("image_index", "patch_index", "centroid_id", raw.alias("raw"))
-        .withColumn("low", F.min("raw").over(over)).withColumn("high", F.max("raw").over(over))
+        rows.withColumn("low", F.min("raw").over(over)).withColumn("high", F.max("raw").over(over))
         .select("image_index", "patch_index", "centroid_id", ((F.col("raw") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(V.FLOOR))).alias("value"))
     )
 

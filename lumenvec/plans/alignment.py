@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenvec.operators.blocks import apply_map, cross_gram, knn
-from lumenvec.operators.cluster import KMeansVec, group_means, spread_centroids
+from lumenvec.operators.cluster import KMeansVec, cluster_embeddings, group_means, spread_centroids
 from lumenvec.operators.matching import profile
+from lumenvec.operators.order import checkpointed
 from lumenvec.operators.metrics import paired_cosine_mean, retrieval_top1_rank
 from lumenvec.operators.sampling import sample_points
 from lumenvec.operators.solvers import procrustes, quadratic_assignment
@@ -41,12 +42,15 @@ def centred_gram(x: np.ndarray) -> np.ndarray:
     return x @ x.T
 
 
-def anchors(left: DataFrame, right: DataFrame, clusters: int, qap_runs: int, subsample: int | None, seed: int, iters: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of both sides, the right ones in the order that best matches the left's geometry."""
+def anchors(left: DataFrame, right: DataFrame, clusters: int, qap_runs: int, subsample: int | None, seed: int, iters: int = 10, n_init: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of both sides, the right ones in the order that best matches the left's geometry.
+
+    Of ``n_init`` clusterings of each side's sample, drawn once, the one with the least loss counts.
+    """
     found = []
     for side, salt in ((left, seed), (right, seed + 1)):
-        points = sample_points(side, subsample, salt)
-        found.append(KMeansVec(clusters, iters, "l2", salt, "reinit").fit(points, spread_centroids(points, clusters, salt)).centroids)
+        points = checkpointed(sample_points(side.select("id", "vec"), subsample, salt))
+        found.append(cluster_embeddings(points, clusters, "raw", n_init, iters, salt)[0].centroids)
     a, b = found
     order, _ = quadratic_assignment(centred_gram(a), centred_gram(b), qap_runs, seed)
     return a, b[order]
@@ -72,20 +76,20 @@ def _cosine(left: DataFrame, right: DataFrame, w: np.ndarray) -> float:
 def fit_alignment(
     left: DataFrame, right: DataFrame, eval_left: DataFrame, eval_right: DataFrame, *, num_anchor_runs: int = 30, qap_runs: int = 30,
     num_clusters: int = 20, anchor_subsample: int | None = 10_000, initial_k: int = 50, refine_iters: int = 100, refine_sample: int = 10_000,
-    refine_k: int = 50, refine2_clusters: int = 500, alpha: float = 0.5, seed: int = 0,
+    refine_k: int = 50, refine2_clusters: int = 500, alpha: float = 0.5, seed: int = 0, n_init: int = 10,
 ) -> Alignment:
     """Map ``W`` from the left to the right space, from sides ``(id, vec)`` that share no pair.
 
     Anchors by clustering and quadratic assignment; a first map from points whose similarity
     profiles to the anchors are alike; refinement by neighbours; correction by matched clusters.
     """
-    pairs = [anchors(left, right, num_clusters, qap_runs, anchor_subsample, seed + run) for run in range(num_anchor_runs)]
+    pairs = [anchors(left, right, num_clusters, qap_runs, anchor_subsample, seed + run, n_init=n_init) for run in range(num_anchor_runs)]
     a, b = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
     near = knn(_profiles(left, a), _profiles(right, b), initial_k)
     w = procrustes(cross_gram(left, mean_match(near, right)))
     out = Alignment(w, _cosine(eval_left, eval_right, w))
     for turn in range(refine_iters):
-        sample = sample_points(left.select("id", "vec"), refine_sample, seed + turn)
+        sample = checkpointed(sample_points(left.select("id", "vec"), refine_sample, seed + turn))
         near = knn(apply_map(sample, w), right, refine_k)
         w = (1 - alpha) * w + alpha * procrustes(cross_gram(sample, mean_match(near, right)))
         out.refine1_cosine.append(_cosine(eval_left, eval_right, w))
