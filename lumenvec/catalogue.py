@@ -30,7 +30,8 @@ def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = COMMON + sql
+            recursive = ", RECURSIVE " in sql  # the word belongs after WITH
+            ORACLES[f.__name__] = COMMON.replace("WITH ", "WITH RECURSIVE ", 1) + sql.replace(", RECURSIVE ", ", ") if recursive else COMMON + sql
         return f
 
     return add
@@ -564,7 +565,17 @@ def hungarian_small(spark, sf):
     return spark.createDataFrame(rows, "i int, j int, total double").select("i", "j", r6("total").alias("total"))
 
 
-@query()
+_ASSIGNED = _CANDIDATES.replace(", p AS", ", RECURSIVE p AS") + """, st AS (SELECT -1 AS col, 0 AS mask, 0.0::DOUBLE AS total, []::INT[] AS chosen
+  UNION ALL SELECT col, mask, min(total), arg_min(chosen, total) FROM (
+   SELECT s.col + 1 AS col, s.mask, s.total, list_append(s.chosen, NULL::INT) AS chosen FROM st s WHERE s.col < 39
+   UNION ALL SELECT s.col + 1, s.mask | (1 << p.small_index), s.total + p.s * -1, list_append(s.chosen, p.small_index::INT)
+   FROM st s JOIN p ON p.large_index = s.col + 1 WHERE s.col < 39 AND (s.mask & (1 << p.small_index)) = 0) GROUP BY col, mask),
+ best AS (SELECT chosen FROM st WHERE col = 39 AND mask = 1023),
+ pairs AS (SELECT unnest(chosen) AS small_index, unnest(range(40)) AS large_index FROM best)
+ """
+
+
+@query(_ASSIGNED + "SELECT c.* FROM (" + _CANDIDATE_ROWS + ") c JOIN pairs USING (small_index, large_index)")
 def hungarian_match(spark, sf):
     return _rounded(matching.match_centroids(_small(spark, sf), _large(spark, sf)), _MATCH_ROUNDED)
 
@@ -636,15 +647,20 @@ def sinkhorn_2it(spark, sf):
     return _plan(spark, sf, 2)
 
 
-@query()
+@query(""", RECURSIVE m AS (SELECT list(r ORDER BY i) AS rows FROM (SELECT a.c AS i, list(-(1 - list_inner_product(a.n, b.n)) / 0.1 ORDER BY b.c) AS r FROM scn a, lcn b GROUP BY a.c)),
+ mt AS (SELECT list(r ORDER BY j) AS cols FROM (SELECT b.c AS j, list(-(1 - list_inner_product(a.n, b.n)) / 0.1 ORDER BY a.c) AS r FROM scn a, lcn b GROUP BY b.c)),
+ it AS (SELECT 0 AS t, list_transform(range(10), lambda x: 0.0::DOUBLE) AS u, list_transform(range(40), lambda x: 0.0::DOUBLE) AS v
+  UNION ALL SELECT t, u, list_transform(cols, lambda r: -ln(40.0::DOUBLE) - ln(list_sum(list_transform(list_zip(r, u), lambda z: exp(z[1] + z[2]))))) FROM (
+   SELECT t + 1 AS t, list_transform(rows, lambda r: -ln(10.0::DOUBLE) - ln(list_sum(list_transform(list_zip(r, v), lambda z: exp(z[1] + z[2]))))) AS u FROM it, m WHERE t < 50), mt)
+ SELECT i::INT AS i, j::INT AS j, round(exp(rows[i + 1][j + 1] + u[i + 1] + v[j + 1]), 6) + 0.0 AS p FROM it, m, range(10) a(i), range(40) b(j) WHERE t = 50""")
 def sinkhorn(spark, sf):
     return _plan(spark, sf, 50)
 
 
 @query()
 def gw_distance(spark, sf):
-    v, t = (sampling.sample_points(prepare.of_unit_length(_side(spark, sf, k)), 60, 42 + k) for k in (0, 1))
-    return spark.createDataFrame([(metrics.gw_distance(v, t, iters=10),)], "gw_distance double").select(r6("gw_distance").alias("gw_distance"))
+    v, t = (sampling.sample_points(prepare.of_unit_length(_side(spark, sf, k)), 300, 42 + k) for k in (0, 1))
+    return spark.createDataFrame([(metrics.gw_distance(v, t),)], "gw_distance double").select(r6("gw_distance").alias("gw_distance"))
 
 
 @query()
@@ -671,7 +687,7 @@ def procrustes(spark, sf):
 
 @query()
 def qap_align(spark, sf):
-    a, b = alignment.anchors(_side(spark, sf, 0), _side(spark, sf, 1), 6, 5, 200, 0, 3)
+    a, b = alignment.anchors(_side(spark, sf, 0), _side(spark, sf, 1), 20, 30, 10_000, 0)
     value = float((alignment.centred_gram(a) * alignment.centred_gram(b)).sum())
     return spark.createDataFrame([(len(a), value)], "clusters int, objective double").select("clusters", r6("objective").alias("objective"))
 
@@ -680,7 +696,7 @@ def qap_align(spark, sf):
 def align_pipeline(spark, sf):
     parts = sampling.unpaired_split(_side(spark, sf, 0), _side(spark, sf, 1), 50)
     parts = [p.withColumn("id", F.col("id") - low) for p, low in zip(parts, [p.agg(F.min("id")).first()[0] for p in parts], strict=True)]
-    out = alignment.fit_alignment(*parts, num_anchor_runs=1, qap_runs=3, num_clusters=5, anchor_subsample=None, initial_k=5, refine_iters=2, refine_sample=100, refine_k=5, refine2_clusters=6)
+    out = alignment.fit_alignment(*parts, num_anchor_runs=2, qap_runs=30, num_clusters=20, refine_iters=2, refine2_clusters=6)
     rows = [("initial", out.initial_cosine)] + [(f"refine1_{k}", v) for k, v in enumerate(out.refine1_cosine)] + [("refine2", out.refine2_cosine), ("top1", out.top1), ("avg_rank", out.avg_rank)]
     return spark.createDataFrame(rows, "step string, value double").select("step", r6("value").alias("value"))
 

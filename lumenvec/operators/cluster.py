@@ -20,6 +20,7 @@ from lumenvec.functions import vectors as V
 from lumenvec.operators.blocks import assign_to, matrix, nearest, small_matrix, unit
 from lumenvec.operators.order import checkpointed
 from lumenvec.operators.sampling import random_centroids, sample_points
+from lumenvec.operators.solvers import spread
 
 RESEED = 10_000
 
@@ -152,17 +153,7 @@ def spread_centroids(points: DataFrame, k: int, seed: int, key: str = "id", vec:
     _, x = small_matrix(sample_points(points.select(key, vec), per_centroid * k, seed, key), key, vec)
     if len(x) < k:
         raise ValueError(f"fewer vectors than k={k}")
-    rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(x)))]
-    near = ((x - x[chosen[0]]) ** 2).sum(1)
-    while len(chosen) < k:
-        share = near / near.sum() if near.sum() > 0 else np.full(len(x), 1 / len(x))
-        tries = rng.choice(len(x), size=2 + int(np.log(k)), p=share)
-        left = np.minimum(near, ((x[tries][:, None] - x) ** 2).sum(2))
-        best = int(left.sum(1).argmin())
-        chosen.append(int(tries[best]))
-        near = left[best]
-    return x[chosen]
+    return spread(x, k, np.random.default_rng(seed))
 
 
 def cluster_counts(assignments: DataFrame, k: int) -> DataFrame:

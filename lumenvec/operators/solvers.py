@@ -63,6 +63,40 @@ def quadratic_assignment(a: np.ndarray, b: np.ndarray, runs: int = 30, seed: int
     return best, best_value
 
 
+def lloyd(x: np.ndarray, k: int, iters: int = 10, restarts: int = 10, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Centroids of a small matrix, Euclidean, and their mean loss: the best of some spread starts."""
+    if len(x) < k:
+        raise ValueError(f"fewer vectors than k={k}")
+    best, least = x[:k], np.inf
+    for run in range(restarts):
+        c = spread(x, k, np.random.default_rng((seed, run)))
+        for _ in range(iters):
+            d = (x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T
+            label = d.argmin(1)
+            counts = np.bincount(label, minlength=k)
+            total = np.zeros_like(c)
+            np.add.at(total, label, x)
+            c = np.where(counts[:, None] > 0, total / np.maximum(counts, 1)[:, None], x[np.argsort(-d.min(1))[:k]])
+        loss = float(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0).min(1).mean())
+        if loss < least:
+            best, least = c, loss
+    return best, least
+
+
+def spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` rows far from each other: each next one is the best of a few candidates drawn by squared distance."""
+    chosen = [int(rng.integers(len(x)))]
+    near = ((x - x[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        share = near / near.sum() if near.sum() > 0 else np.full(len(x), 1 / len(x))
+        tries = rng.choice(len(x), size=2 + int(np.log(k)), p=share)
+        left = np.minimum(near, ((x[tries][:, None] - x) ** 2).sum(2))
+        best = int(left.sum(1).argmin())
+        chosen.append(int(tries[best]))
+        near = left[best]
+    return x[chosen]
+
+
 def procrustes(cross: np.ndarray) -> np.ndarray:
     """The orthogonal W that maximises trace(W^T cross), for ``cross = X^T Y``."""
     u, _, vt = np.linalg.svd(cross)

@@ -12,13 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenvec.operators.blocks import apply_map, cross_gram, knn
+from lumenvec.operators.blocks import apply_map, cross_gram, knn, small_matrix
 from lumenvec.operators.cluster import KMeansVec, cluster_embeddings, group_means, spread_centroids
 from lumenvec.operators.matching import profile
 from lumenvec.operators.order import checkpointed
 from lumenvec.operators.metrics import paired_cosine_mean, retrieval_top1_rank
 from lumenvec.operators.sampling import sample_points
-from lumenvec.operators.solvers import procrustes, quadratic_assignment
+from lumenvec.operators.solvers import lloyd, procrustes, quadratic_assignment
 
 
 @dataclass
@@ -46,11 +46,15 @@ def anchors(left: DataFrame, right: DataFrame, clusters: int, qap_runs: int, sub
     """Centroids of both sides, the right ones in the order that best matches the left's geometry.
 
     Of ``n_init`` clusterings of each side's sample, drawn once, the one with the least loss counts.
+    A sample of bounded size is clustered on the driver, whole sides (``subsample`` None) in Spark.
     """
     found = []
     for side, salt in ((left, seed), (right, seed + 1)):
-        points = checkpointed(sample_points(side.select("id", "vec"), subsample, salt))
-        found.append(cluster_embeddings(points, clusters, "raw", n_init, iters, salt)[0].centroids)
+        points = sample_points(side.select("id", "vec"), subsample, salt)
+        if subsample is None:
+            found.append(cluster_embeddings(points, clusters, "raw", n_init, iters, salt)[0].centroids)
+        else:
+            found.append(lloyd(small_matrix(points, "id", "vec")[1], clusters, iters, n_init, salt)[0])
     a, b = found
     order, _ = quadratic_assignment(centred_gram(a), centred_gram(b), qap_runs, seed)
     return a, b[order]

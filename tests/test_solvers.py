@@ -65,3 +65,13 @@ def test_tsne_keeps_two_groups_apart():
     x = np.concatenate([rng.normal(0, 0.1, (20, 5)), rng.normal(4, 0.1, (20, 5))])
     y = solvers.tsne(x, (x - x.mean(0))[:, :2], 5, 200)
     assert np.linalg.norm(y[:20].mean(0) - y[20:].mean(0)) > 2 * y[:20].std()
+
+
+def test_lloyd_finds_separate_groups():
+    rng = np.random.default_rng(0)
+    centres = 10 * rng.normal(size=(5, 3))
+    x = centres[np.arange(100) % 5] + 0.01 * rng.normal(size=(100, 3))
+    found, loss = solvers.lloyd(x, 5)
+    assert np.abs(np.sort(found, axis=0) - np.sort(centres, axis=0)).max() < 0.05 and loss < 0.01
+    with pytest.raises(ValueError):
+        solvers.lloyd(x[:3], 5)
