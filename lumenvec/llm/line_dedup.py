@@ -43,11 +43,11 @@ def masked(line: Column) -> Column:
     spaced = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
     # Most lines have neither a digit nor odd spaces, which one search tells.
     plain = F.trim(line)
-    return F.when(line.rlike(r"[\x09-\x0D0-9]|  "), F.regexp_replace(spaced, r"[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(plain)
+    return F.when(line.rlike(r"[\x09-\x0D0-9]") | line.contains("  "), F.regexp_replace(spaced, r"[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(plain)
 
 
-def has_word(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
+def has_word(text: Column) -> Column:
+    return text.rlike(r"[^\x20\x09-\x0D]")
 
 
 def _needed(tokens: Column) -> Column:
@@ -61,8 +61,7 @@ def _leaf(lines: DataFrame) -> DataFrame:
 
 def _masked_lines(docs: DataFrame) -> DataFrame:
     """Each masked line with a word once for each row of ``docs (doc_id, text)``."""
-    worded = F.filter(F.split(F.col("text"), "\n"), has_word)
-    return docs.withColumn("line", F.explode(F.array_distinct(F.transform(worded, masked))))
+    return docs.withColumn("line", F.explode(F.array_distinct(F.transform(F.split(F.col("text"), "\n"), masked)))).filter("line <> ''")
 
 
 def _k1(line: Column) -> Column:
@@ -179,7 +178,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     lines = F.split(F.col("_whole"), "\n")
     kept = F.when(
         F.col("_drop").isNotNull(),
-        F.filter(lines, lambda line: ~has_word(line) | ~F.array_contains("_drop", _k1(masked(line)))),
+        F.filter(lines, lambda line: ~F.array_contains("_drop", _k1(masked(line)))),
     )
     return (
         rows.join(hits, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_text")), "left")
