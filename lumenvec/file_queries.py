@@ -84,11 +84,12 @@ def assignment_files(spark, sf):
     return shards.read_assignments(spark, folder, 10).select("k", "image_index", "patch_index", "cluster_id")
 
 
-@query("SELECT vec_id // 25 AS id, (i - 1)::INT AS i, avg(v[i])::FLOAT AS x FROM e, d64 GROUP BY ALL")
+@query("SELECT vec_id // 25 AS id, (i - 1)::INT AS i, round(avg(v[i]), 4) + 0.0 AS x FROM e, d64 GROUP BY ALL")
 def image_means_file(spark, sf):
     path = f"{_folder(spark)}/means.pt"
     shards.write_image_means(C._patches(spark, sf), C._images(spark, sf), path, dtype="float32")
-    return tensors.read_tensor(spark, path, "vision_feats").select("id", F.posexplode("vec").alias("i", "x"))
+    rows = tensors.read_tensor(spark, path, "vision_feats").select("id", F.posexplode(F.col("vec").cast("array<double>")).alias("i", "x"))
+    return rows.withColumn("x", F.round("x", 4) + F.lit(0.0))  # single precision holds no more for sure
 
 
 @query("""SELECT id, (j - 1)::INT AS i, round(sum(v[k.i] * ((((k.i * 7 + j * 3) % 11) - 5) / 10.0)::FLOAT::DOUBLE), 6) + 0.0 AS x

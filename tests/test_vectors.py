@@ -157,7 +157,7 @@ def test_alignment_finds_a_planted_rotation(spark):
     left, right = frame(spark, x), frame(spark, x @ q)
     split = sampling.unpaired_split(left, right, 40)
     out = alignment.fit_alignment(
-        *split, num_anchor_runs=2, qap_runs=20, num_clusters=8, anchor_subsample=None, initial_k=3, refine_iters=3, refine_k=3, refine2_clusters=8
+        *split, num_anchor_runs=2, qap_runs=20, num_clusters=8, anchor_subsample=100, initial_k=3, refine_iters=3, refine_k=3, refine2_clusters=8
     )
     assert max(out.refine1_cosine) > 0.9 and out.refine2_cosine > 0.9
     assert out.orthogonality_error < 0.5 and out.avg_rank < 12
