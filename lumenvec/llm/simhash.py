@@ -356,7 +356,7 @@ def links(fps: DataFrame, most: int = 4, halves: int = 1, differ: int | None = N
 SIMILAR = 0.8
 #: Fingerprints for it: 256 bits in 12 blocks. Pairs that meet at an anchor within one bit more than the covering
 #: radius of both, and differ in at most so many bits, are compared by their shingles.
-SIMILAR_HALVES, SIMILAR_DIFFER, SIMILAR_BITS = 4, 1, 56
+SIMILAR_HALVES, SIMILAR_DIFFER, SIMILAR_BITS = 4, 1, 66
 #: Of larger groups at one anchor only a star is compared first.
 SMALL_GROUP = 24
 
