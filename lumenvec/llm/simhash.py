@@ -362,11 +362,10 @@ SMALL_GROUP = 24
 
 
 def candidates(fps: DataFrame, least: float, halves: int = SIMILAR_HALVES, most: int = SIMILAR_BITS, differ: int = SIMILAR_DIFFER) -> DataFrame:
-    """Pairs ``a, b`` of ``fps (fp, fp2, ..., node, n)`` that may be similar, for an exact comparison.
+    """Pairs ``a, b`` of ``fps (fp, fp2, ..., node, n)`` that may be similar, for an exact comparison; and ``crowd``.
 
-    In a group of more than SMALL_GROUP at an anchor only pairs with the member closest to the
-    group's majority bits; each member then also comes as a pair with itself, to say that its group
-    isn't done.
+    Of a group of more than SMALL_GROUP at an anchor no pairs come, but each member with the smallest
+    one, marked as ``crowd``: these say which groups are to be compared in tiles.
     """
     meeting = Meeting(halves, differ, False, True, ("n",), 8192, 16384)
     masks = np.zeros((halves * len(BLOCKS), halves), np.uint64)
@@ -374,9 +373,8 @@ def candidates(fps: DataFrame, least: float, halves: int = SIMILAR_HALVES, most:
         low, length = BLOCKS[k % len(BLOCKS)]
         masks[k, k // len(BLOCKS)] = ((1 << length) - 1) << low
 
-    def batch(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        a, b = x["node"][i], x["node"][j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def batch(a: np.ndarray, b: np.ndarray, crowd: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), crowd))], ["a", "b", "crowd"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (anchor, *_), x in meeting.read(batches):
@@ -394,15 +392,12 @@ def candidates(fps: DataFrame, least: float, halves: int = SIMILAR_HALVES, most:
                     new = np.ones(len(i), bool)
                     for mask in masks[: anchor >> 24]:
                         new &= np.bitwise_count(apart & mask).sum(1) > differ
-                    yield batch(x, i[new], j[new])
-            for root in np.unique(labels.root[size > SMALL_GROUP]):
-                group = np.flatnonzero(labels.root == root)
-                bits = np.unpackbits(np.ascontiguousarray(fp[group]).view(np.uint8).reshape(len(group), -1), axis=1)
-                middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(group)).view("<u8")
-                lead = group[np.lexsort((x["node"][group], np.bitwise_count(fp[group] ^ middle).sum(1)))[0]]
-                yield batch(x, np.concatenate([group, group]), np.concatenate([np.full(len(group), lead), group]))
+                    yield batch(x["node"][i[new]], x["node"][j[new]], False)
+            many = size > SMALL_GROUP
+            if many.any():
+                yield batch(*star(x["node"], np.where(many, labels.root, np.arange(len(x)))), True)
 
-    return meeting.cells(fps).mapInArrow(compare, "a long, b long").distinct()
+    return meeting.cells(fps).mapInArrow(compare, "a long, b long, crowd boolean").distinct()
 
 
 #: Words of 64 bits of the filter that picks the texts to compare; false hits only cost work.
@@ -448,11 +443,12 @@ TILE, TILE_SHINGLES = 4096, 1 << 22
 
 
 def similar_in_groups(docs: DataFrame, members: DataFrame, least: float, shingle: int, most: int = SIMILAR_BITS, halves: int = SIMILAR_HALVES) -> DataFrame:
-    """Edges ``a, b`` that connect those of ``members (fp, ..., node, n, label, grp)`` with at most ``most`` differing
-    bits and a Jaccard similarity of ``least`` or more that have the same ``grp`` and unequal labels.
+    """Edges ``a, b`` that connect those of ``members (fp, ..., node, n, grp)`` of a ``grp`` with at most ``most``
+    differing bits and a Jaccard similarity of ``least`` or more.
 
     A group is cut into tiles of bounded size; each pair of tiles is compared in one task, which
-    returns only what it connects.
+    returns only what it connects. Texts near the middle of a group come first, as they connect most
+    of it; what is connected is not compared again.
     """
     names = _names(halves)
     shape = members.groupBy("grp").agg(F.count("*").alias("_rows"), F.sum("n").alias("_shingles")).select(
@@ -463,13 +459,13 @@ def similar_in_groups(docs: DataFrame, members: DataFrame, least: float, shingle
         members.join(shape, "grp").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .join(bags, F.col("node") == F.col("doc_id"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("grp", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "t", "node", "label", *names, "bag")
+        .select("grp", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "t", "node", *names, "bag")
         .repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     )
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), cell in by_key(batches, ["grp", "i", "j"]):
-            node, label, t = (cell[c].to_numpy() for c in ("node", "label", "t"))
+            node, t = (cell[c].to_numpy() for c in ("node", "t"))
             fp = np.stack([cell[c].to_numpy().view(np.uint64) for c in names], axis=1)
             bags = cell["bag"].combine_chunks()
             bags = bags.chunk(0) if isinstance(bags, pa.ChunkedArray) else bags
@@ -479,11 +475,13 @@ def similar_in_groups(docs: DataFrame, members: DataFrame, least: float, shingle
             codes = np.unique(bags.flatten().to_numpy(), return_inverse=True)[1]
             marked = np.zeros(int(codes.max(initial=-1)) + 1, np.int64)
             labels = Labels(len(node))
-            labels.merge(np.arange(len(node)), np.unique(label, return_index=True)[1][np.unique(label, return_inverse=True)[1]])
-            for left, right in _close(fp, n, np.flatnonzero(t == i), np.flatnonzero(t == j), most, least, 1 << 18):
+            bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1)
+            middle = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(fp)).view("<u8")
+            order = np.lexsort((node, np.bitwise_count(fp ^ middle).sum(1)))
+            for left, right in _close(fp, n, order[t[order] == i], order[t[order] == j], most, least, 1 << 18):
                 open_ = labels.root[left] != labels.root[right]
                 left, right = left[open_], right[open_]
-                for x in np.unique(left):
+                for x in left[np.sort(np.unique(left, return_index=True)[1])].tolist():
                     others = right[left == x]
                     others = others[labels.root[others] != labels.root[x]]
                     if not len(others):
@@ -513,15 +511,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = SIMILAR)
     once = checkpointed(rows.groupBy(*names, "key", "n").agg(F.min("doc_id").alias("node")))
     worded = once.filter("n > 0").select(*names, "node", "n")
     found = checkpointed(candidates(worded, least))
-    near = checkpointed(similar(plain, found.filter("a <> b"), least, shingle))
-    # Members of large groups that their stars have not connected are compared in tiles.
-    crowded = found.filter("a = b").select(F.col("a").alias("node"))
-    groups = components(found.join(crowded.withColumnRenamed("node", "a"), "a", "left_semi").join(crowded.withColumnRenamed("node", "b"), "b", "left_semi"))
-    labels = components(near).withColumnRenamed("root", "label")
-    members = checkpointed(
-        worded.join(crowded, "node", "left_semi").join(labels, "node", "left").join(groups, "node", "left")
-        .select(*names, "node", "n", F.coalesce("label", "node").alias("label"), F.coalesce("root", "node").alias("grp"))
-    )
+    near = similar(plain, found.filter("NOT crowd").select("a", "b"), least, shingle)
+    groups = components(found.filter("crowd").select("a", "b"))
+    roots = groups.select(F.col("root").alias("node")).distinct().withColumn("root", F.col("node"))
+    members = checkpointed(worded.join(groups.unionByName(roots), "node").select(*names, "node", "n", F.col("root").alias("grp")))
     roots = components(near.unionByName(similar_in_groups(plain, members, least, shingle)))
     classes = once.join(roots, "node", "left").select(*names, "key", "n", F.coalesce("root", "node").alias("component_id"))
     return rows.join(classes, [*names, "key", "n"]).select("doc_id", "component_id")
