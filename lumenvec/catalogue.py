@@ -61,9 +61,8 @@ def _patches(spark, sf) -> DataFrame:
     )
 
 
-def _side(spark, sf, odd: int, below: int | None = None) -> DataFrame:
-    rows = _e(spark, sf).filter(F.col("vec_id") % 2 == odd).select(F.floor(F.col("vec_id") / 2).alias("id"), "vec")
-    return rows if below is None else rows.filter(F.col("id") < below)
+def _side(spark, sf, odd: int) -> DataFrame:
+    return _e(spark, sf).filter(F.col("vec_id") % 2 == odd).select(F.floor(F.col("vec_id") / 2).alias("id"), "vec")
 
 
 def _small(spark, sf) -> DataFrame:
@@ -471,9 +470,10 @@ def sample_pair(spark, sf):
 
 
 @query("""SELECT 'vision' AS side, * FROM (SELECT id FROM vis ORDER BY md5(concat_ws(':', id::VARCHAR, '5')), id LIMIT 30)
- UNION ALL SELECT 'text', * FROM (SELECT id FROM txt WHERE id < 200 ORDER BY md5(concat_ws(':', id::VARCHAR, '6')), id LIMIT 30)""")
+ UNION ALL SELECT 'text', * FROM (SELECT doc_id AS id FROM documents ORDER BY md5(concat_ws(':', doc_id::VARCHAR, '6')), doc_id LIMIT 30)""")
 def sample_same_count(spark, sf):
-    v, t = sampling.sample_same_count(_side(spark, sf, 0), _side(spark, sf, 1, 200), 30, 5)
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"))
+    v, t = sampling.sample_same_count(_side(spark, sf, 0), texts, 30, 5)
     return v.select(F.lit("vision").alias("side"), "id").unionByName(t.select(F.lit("text").alias("side"), "id"))
 
 
