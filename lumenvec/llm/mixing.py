@@ -15,11 +15,14 @@ slots and blocks is on the block's number. Slots grow with the total, so that th
 
 Null text has no words and takes part with size 0; a null source is a source of its own, ordered
 last. Repeated rows and ids are told apart by their place in the stream; of rows alike in all columns
-as many appear in the mix as their places are taken. An empty table gives an empty result.
+as many appear in the mix as their places are taken; maps with their entries in another order are
+not alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,8 +136,9 @@ def mix(
 
 
 def _row_hashes(docs: DataFrame) -> list:
-    """Two hashes of 64 bits of a whole row."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    """Two hashes of 64 bits of a whole row; columns with maps, which have no hash, go as JSON."""
+    maps = {f.name for f in docs.schema if re.search("map<|variant", f.dataType.simpleString())}
+    columns = [F.to_json(F.struct(F.col(f"`{c}`"))) if c in maps else F.col(f"`{c}`") for c in docs.columns]
     return [F.xxhash64(*columns).alias("_row1"), F.xxhash64(F.lit(1), *columns).alias("_row2")]
 
 

@@ -225,6 +225,18 @@ def test_mix_is_in_the_schedules_order(spark, docs_of):
             assert abs(sum(r["source"] == s for r in out[low : low + 500]) - 500 * n / len(out)) <= 12
 
 
+def test_mixing_with_map_columns(spark, docs_of):
+    """Maps, inside other types too, have no hash of their own; rows that differ in them alone are told apart."""
+    docs = docs_of(["a b c d"] * 4, ids=[1, 1, 2, 3]).withColumn("meta", F.create_map(F.lit("k"), F.monotonically_increasing_id()))
+    docs = docs.withColumn("deep", F.array(F.struct(F.col("meta").alias("m"))))
+    plain, with_maps = (sorted(map(tuple, mixing.shares(d, slot_words=2).select("doc_id", "size", "taken").collect())) for d in (docs.drop("meta", "deep"), docs))
+    assert plain == with_maps
+    mixed = mixing.mixed(docs, slot_words=2)
+    assert mixed.columns == docs.columns
+    assert 0 < len(mixed.select("doc_id", F.to_json("meta").alias("meta")).distinct().collect()) <= 4
+    assert mixing.mixed(docs.filter("false")).count() == 0
+
+
 def test_targets_reshare_by_weight(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), ("d", 5000), (None, 70)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
