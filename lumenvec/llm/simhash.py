@@ -190,29 +190,38 @@ def _mix(fp: np.ndarray) -> np.ndarray:
     return (fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
 
 
-def _close(fps: np.ndarray, n: np.ndarray | None, rows: np.ndarray, cols: np.ndarray, most: int, least: float, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _close(fps: np.ndarray, n: np.ndarray | None, rows: np.ndarray, cols: np.ndarray, most: int, least: float, block: int = 1 << 20, by_size: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places of ``rows`` and ``cols`` with at most ``most`` differing bits, by blocks.
 
     Sizes ``n`` too unlike for a similarity of ``least`` are left out. No place meets itself; where
-    rows are columns too each pair comes once.
+    rows are columns too each pair comes once. ``by_size`` says that both ascend in size: then a block
+    of rows meets only the columns of sizes like enough, and the result is the same.
     """
     same = len(rows) == len(cols) and np.array_equal(rows, cols)
     step = max(1, block // max(1, len(cols)))
-    words = min(2, fps.shape[1])
+    # Half the bits of unlike fingerprints differ: 64 of two words, 96 of three (whose counts still fit a byte).
+    words = min(2 if most < 40 else 3, fps.shape[1])
+    across = [fps[cols, w] for w in range(words)]
+    if by_size:
+        step, sizes = min(step, 64), n[cols]
     for k in range(0, len(rows), step):
-        left, right = rows[k : k + step], cols[k:] if same else cols
-        apart = np.bitwise_count(fps[left, 0][:, None] ^ fps[right, 0])
+        left, first, last = rows[k : k + step], k if same else 0, len(cols)
+        if by_size:
+            first = max(first, int(np.searchsorted(sizes, least * n[left[0]])))
+            last = int(np.searchsorted(least * sizes, n[left[-1]], "right"))
+        right = cols[first:last]
+        apart = np.bitwise_count(fps[left, 0][:, None] ^ across[0][first:last])
         for w in range(1, words):
-            apart += np.bitwise_count(fps[left, w][:, None] ^ fps[right, w])
+            apart += np.bitwise_count(fps[left, w][:, None] ^ across[w][first:last])
         i, j = np.nonzero(apart <= most)
         keep = i < j if same else left[i] != right[j]
         i, j = left[i[keep]], right[j[keep]]
-        if fps.shape[1] > words:
-            near = np.bitwise_count(fps[i] ^ fps[j]).sum(1) <= most
-            i, j = i[near], j[near]
         if n is not None and len(i):
             like = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
             i, j = i[like], j[like]
+        if fps.shape[1] > words:
+            near = np.bitwise_count(fps[i] ^ fps[j]).sum(1) <= most
+            i, j = i[near], j[near]
         if len(i):
             yield i, j
 
@@ -378,15 +387,16 @@ def candidates(fps: DataFrame, least: float, halves: int = SIMILAR_HALVES, most:
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (anchor, *_), x in meeting.read(batches):
-            fp, n = x["fp"], x["n"]
+            x = x[np.argsort(x["n"], kind="stable")]
+            fp, n = np.ascontiguousarray(x["fp"]), np.ascontiguousarray(x["n"])
             rows, cols = _rows_cols(x)
             labels = Labels(len(x))
-            for i, j in _close(fp, n, rows, cols, most, least):
+            for i, j in _close(fp, n, rows, cols, most, least, by_size=True):
                 labels.merge(i, j)
             size = np.bincount(labels.root, minlength=len(x))[labels.root]
             small = (size > 1) & (size <= SMALL_GROUP)
             if small.any():
-                for i, j in _close(fp, n, rows[small[rows]], cols[small[cols]], most, least):
+                for i, j in _close(fp, n, rows[small[rows]], cols[small[cols]], most, least, by_size=True):
                     # Those that an earlier block surely brings together come from there.
                     apart = fp[i] ^ fp[j]
                     new = np.ones(len(i), bool)

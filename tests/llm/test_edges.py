@@ -137,6 +137,32 @@ def test_keep_one_goes_by_jaccard(spark, docs_of):
     assert {r["doc_id"] for r in simhash.keep_one(docs_of(texts)).collect()} == {k for k, root in got.items() if k == root}
 
 
+def test_close_finds_all_and_leaves_unlike_pairs_early(monkeypatch):
+    """Unlike pairs cost three words each, not all their bits again; by size most are not looked at. No pair is lost."""
+    rng = np.random.default_rng(12)
+    n = np.sort(np.exp(rng.normal(5, 1, 1200)).astype(np.int64) + 1)
+    fps = rng.integers(0, 2**63, (1200, 4)).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, (1200, 4)).astype(np.uint64)
+    for k in range(0, 1200, 3):  # near ones, of sizes like enough and not; from 0 bits to beyond the limit
+        other = min(1199, k + int(rng.integers(1, 120)))
+        flips = np.packbits(np.arange(256) < rng.integers(0, 80)).view(np.uint64)
+        fps[other] = fps[k] ^ flips
+    fps[5] = ~fps[4]  # 256 differing bits
+    most, least = simhash.SIMILAR_BITS, simhash.SIMILAR
+    apart = np.bitwise_count(fps[:, None] ^ fps).sum(2, dtype=int)
+    near = (apart <= most) & (np.minimum(n[:, None], n) >= least * np.maximum(n[:, None], n))
+    at, half = np.arange(1200), np.flatnonzero(rng.random(1200) < 0.5)
+    count, looked = np.bitwise_count, []
+    monkeypatch.setattr(np, "bitwise_count", lambda x: looked.append(x.size) or count(x))
+    for rows, cols in ((at, at), (half, at), (half, np.setdiff1d(at, half[::2])), (half[:0], at), (at, half[:0])):
+        want = {(min(i, j), max(i, j)) for i in rows.tolist() for j in cols.tolist() if i != j and near[i, j]}
+        pairs = len(rows) * len(cols) / (1 if len(rows) != len(cols) else 2)
+        for more, words in (({}, 3), ({"by_size": True}, 1)):
+            looked.clear()
+            got = [p for i, j in simhash._close(fps, n, rows, cols, most, least, 1 << 16, **more) for p in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist(), strict=True)]
+            assert set(got) == want and (rows is not cols or len(got) == len(want))
+            assert sum(looked) <= 1.1 * words * pairs
+
+
 def test_recall_just_above_the_limit():
     """Share of pairs at a similarity of 0.80 to 0.84 that meet and differ in few enough bits."""
     rng = np.random.default_rng(8)
