@@ -28,6 +28,11 @@ def label_dtype(k: int) -> np.dtype:
     return np.dtype(np.uint16 if k <= 65535 else np.uint32)
 
 
+def absent(dtype: np.dtype) -> float:
+    """What stands for an absent patch in an array of cluster ids, or of distances."""
+    return np.iinfo(dtype).max if dtype.kind == "u" else np.nan
+
+
 def _guarded(path: Path, overwrite: bool) -> None:
     if path.exists() and not overwrite:
         raise FileExistsError(f"{path} exists")
@@ -107,12 +112,17 @@ def shard_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_assignments(assignments: DataFrame, folder: str, k: int, images: int, patches: int, distances: bool = False, overwrite: bool = False, metric: str = "cosine") -> dict:
-    """Cluster ids (and distances) as arrays ``(images, patches)`` by global index, and their configuration."""
+    """Cluster ids (and distances) as arrays ``(images, patches)`` by global index, and their configuration.
+
+    Patches that are absent have the largest number of the type, which is no cluster's, and distance NaN.
+    """
     dtype, root = label_dtype(k), Path(folder)
     ids, far = root / f"patch_cluster_ids_k{k}_{dtype.name}.npy", root / f"patch_cluster_dist_k{k}_fp16.npy"
     for path, kind in ((ids, dtype), (far, np.dtype(np.float16)))[: 2 if distances else 1]:
         _guarded(path, overwrite)
-        np.lib.format.open_memmap(path, mode="w+", dtype=kind, shape=(images, patches)).flush()
+        out = np.lib.format.open_memmap(path, mode="w+", dtype=kind, shape=(images, patches))
+        out[...] = absent(kind)
+        out.flush()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -140,11 +150,13 @@ def write_assignments(assignments: DataFrame, folder: str, k: int, images: int,
 
 
 def read_assignments(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    """``k, image_index, patch_index, cluster_id, distance`` of the arrays of ``write_assignments``; null distances where none were stored."""
+    """``k, image_index, patch_index, cluster_id, distance`` of the arrays of ``write_assignments``; null distances where none were stored, no row for absent patches."""
 
     def rows(path: Path, name: str, kind: str) -> DataFrame:
-        found = tensors.read_tensor(spark, str(path))
-        return found.select(F.col("id").alias("image_index"), F.posexplode("vec").alias("patch_index", "_x")).select("image_index", "patch_index", F.col("_x").cast(kind).alias(name))
+        found = tensors.read_tensor(spark, str(path)).select(F.col("id").alias("image_index"), F.posexplode("vec").alias("patch_index", "_x"))
+        if kind == "int":
+            found = found.filter(F.col("_x").cast("double") < float(absent(label_dtype(k))))
+        return found.select("image_index", "patch_index", F.col("_x").cast(kind).alias(name))
 
     root = Path(folder)
     ids = rows(root / f"patch_cluster_ids_k{k}_{label_dtype(k).name}.npy", "cluster_id", "int")
