@@ -12,10 +12,10 @@ from lumenvec.operators.order import numbered
 def manifest(images: DataFrame, split: str, image_dir: str) -> DataFrame:
     """Manifest of annotated images ``(id, file_name, height, width)``.
 
-    ``index`` counts the names in order; a missing id is taken from the name, or the index where the
-    name has none or 0; missing sizes are -1.
+    ``index`` counts the names in order, of equal ones those without id last, then by size; a missing
+    id is taken from the name, or the index where the name has none or 0; missing sizes are -1.
     """
-    order = [F.col("file_name").asc(), F.col("id").asc()]
+    order = [F.col(c).asc_nulls_last() for c in ("file_name", "id", "height", "width")]
     return numbered(images.select("id", "file_name", "height", "width"), order, "index").select(
         "index", F.coalesce(F.col("id").cast("long"), named_id(F.col("file_name"), F.col("index"))).alias("image_id"), "file_name",
         F.concat(F.lit(image_dir.rstrip("/") + "/"), "file_name").alias("path"), F.lit(split).alias("split"),
