@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 @dataclass
 class Range(InputPartition):
-    """Rows ``start`` to ``end`` of a file; a tensor's shape and its rows' indices beside."""
+    """Rows ``start`` to ``end`` of a file; a tensor's shape, its rows' indices and the file of its patches' presence beside."""
 
     path: str
     start: int
@@ -25,6 +25,7 @@ class Range(InputPartition):
     shape: tuple
     dtype: str
     indices: tuple = ()
+    present: str = ""
 
     def __post_init__(self):
         self.value = (self.path, self.start)
@@ -75,17 +76,21 @@ def load_shards(folder: str, max_images: int | None = None) -> list[dict]:
     for path in sorted(Path(folder).glob("shard_*.json")):
         meta = json.loads(path.read_text())
         shape = tuple(meta["shape"])
-        candidates = [Path(meta["mmap_path"]), path.parent / meta["mmap_path"], path.parent / Path(meta["mmap_path"]).name]
-        data = next((c for c in candidates if c.is_file()), None)
-        if data is None:
-            raise FileNotFoundError(f"{path}: {meta['mmap_path']}")
+
+        def located(name: str) -> str:
+            file = next((c for c in (Path(name), path.parent / name, path.parent / Path(name).name) if c.is_file()), None)
+            if file is None:
+                raise FileNotFoundError(f"{path}: {name}")
+            return str(file)
+
+        data, present = located(meta["mmap_path"]), located(meta["present_path"]) if meta.get("present_path") else ""
         if found and shape[1:] != found[0]["shape"][1:]:
             raise ValueError(f"{path}: shape {shape} differs from {found[0]['shape']}")
         count = shape[0] if left is None else min(shape[0], left)
         if left is not None:
             left -= count
         if count:
-            found.append({"path": str(data), "shape": shape, "count": count, "dtype": meta.get("dtype", "float16"), "indices": tuple(meta.get("global_indices") or range(shape[0]))})
+            found.append({"path": data, "present": present, "shape": shape, "count": count, "dtype": meta.get("dtype", "float16"), "indices": tuple(meta.get("global_indices") or range(shape[0]))})
     if not found:
         raise FileNotFoundError(f"no shards in {folder}")
     return found
@@ -98,16 +103,20 @@ class ShardReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         return [
-            Range(s["path"], at, min(at + self.chunk, s["count"]), s["shape"], s["dtype"], s["indices"][at : min(at + self.chunk, s["count"])])
+            Range(s["path"], at, min(at + self.chunk, s["count"]), s["shape"], s["dtype"], s["indices"][at : min(at + self.chunk, s["count"])], s["present"])
             for s in load_shards(self.folder, self.most) for at in range(0, s["count"], self.chunk)
         ]
 
     def read(self, partition: Range):
         x = np.memmap(partition.path, mode="r", dtype=partition.dtype, shape=partition.shape)
         patches, width = partition.shape[1:]
+        there = np.memmap(partition.present, mode="r", dtype=np.uint8, shape=(partition.shape[0], patches)) if partition.present else None
         for image, row in zip(partition.indices, range(partition.start, partition.end), strict=True):
+            at = np.arange(patches)
+            if there is not None and there[row].any():  # an image without tokens is all zero
+                at = np.flatnonzero(there[row])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(patches, image, np.int64)), pa.array(np.arange(patches, dtype=np.int32)), _lists(np.asarray(x[row], np.float32).ravel(), width)],
+                [pa.array(np.full(len(at), image, np.int64)), pa.array(at.astype(np.int32)), _lists(np.asarray(x[row, at], np.float32).ravel(), width)],
                 ["image_index", "patch_index", "vec"],
             )
 

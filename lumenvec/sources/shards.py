@@ -50,7 +50,8 @@ def write_shards(
     """Shard files, their metadata and a manifest of each, of ``tokens (image_index, patch_index, vec)``.
 
     ``images (index, ...)`` is the manifest, its index dense from 0; further columns, among them
-    ``status`` where there is one, go to the shard manifests. Images without tokens stay zero.
+    ``status`` where there is one, go to the shard manifests. Images without tokens stay zero; a byte
+    beside each patch says which ones were there, as an image may have fewer than ``patches``.
     """
     total = images.count()
     of = I.mod_shard(F.col("index"), shards) if strategy == "mod" else I.contiguous_shard(F.col("index"), shards, total)
@@ -59,10 +60,10 @@ def write_shards(
     names = {s: f"shard_{s:03d}" for s in range(shards)}
     root = Path(folder)
     for s in range(shards):
-        path = root / f"{names[s]}.mmap"
-        _guarded(path, overwrite)
-        with open(path, "wb") as out:
-            out.truncate(counts.get(s, 0) * patches * width * np.dtype(dtype).itemsize)
+        for path, size in ((root / f"{names[s]}.mmap", width * np.dtype(dtype).itemsize), (root / f"{names[s]}.present", 1)):
+            _guarded(path, overwrite)
+            with open(path, "wb") as out:
+                out.truncate(counts.get(s, 0) * patches * size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -74,8 +75,10 @@ def write_shards(
             for s in np.unique(shard).tolist():
                 out = np.memmap(root / f"{names[s]}.mmap", mode="r+", dtype=dtype, shape=(counts[s], patches, width))
                 at = shard == s
-                out[local[at], patch[at]] = x[at]
+                there = np.memmap(root / f"{names[s]}.present", mode="r+", dtype=np.uint8, shape=(counts[s], patches))
+                out[local[at], patch[at]], there[local[at], patch[at]] = x[at], 1
                 out.flush()
+                there.flush()
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
 
@@ -91,7 +94,7 @@ def write_shards(
         indices = list(range(s, total, shards)) if strategy == "mod" else list(range(starts[s], starts[s] + n))
         meta = {
             "shard_id": s, "num_shards": shards, "shard_strategy": strategy, "num_images": n, "global_indices": indices, "mmap_path": str(root / f"{names[s]}.mmap"),
-            "shape": [n, patches, width], "dtype": dtype, "num_failed_images": bad.get(s, 0),
+            "present_path": str(root / f"{names[s]}.present"), "shape": [n, patches, width], "dtype": dtype, "num_failed_images": bad.get(s, 0),
         }
         write_json(meta, str(root / f"{names[s]}.json"))
         found.append(meta)
