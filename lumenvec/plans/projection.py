@@ -64,18 +64,19 @@ def panels(vision: DataFrame, text: DataFrame, method: str = "pca", w: np.ndarra
     return out.unionByName(project_2d(vision, text, method, w, seed)[0].select(F.lit("after").alias("panel"), "modality", "id", "x", "y"))
 
 
-def write_panels(points: DataFrame, path: str, size: int = 480) -> None:
-    """The panels as a scatter plot in a PNG file; for samples, as a plot shows no more."""
+def write_panels(points: DataFrame, path: str, size: int = 480, radius: int = 2) -> None:
+    """The panels as a scatter plot in a PNG file; tasks place the points, and a pixel of each kind is brought once."""
     from lumenvec.sources.files import replaced
     from lumenvec.sources.pixels import png, scatter
 
-    if points.limit(200_001).count() > 200_000:
-        raise ValueError("too many points for a plot; sample first")
-    found = points.toPandas()
+    points = checkpointed(points.select("panel", "modality", "x", "y"))
+    ends = points.groupBy("panel").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")])
+    at = [F.rint((F.col(c) - F.col(f"min_{c}")) / F.greatest(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(1e-12)) * (size - 1 - 2 * radius)).alias(c) for c in ("x", "y")]
+    found = points.join(F.broadcast(ends), "panel").select("panel", "modality", *at).distinct().toPandas()
     colours = {"vision": (31, 119, 180), "text": (255, 127, 14)}
     shown = [
         [(part.loc[part["modality"] == m, ["x", "y"]].to_numpy(float), colours[m]) for m in ("vision", "text")]
         for part in (found[found["panel"] == name] for name in ("before", "after")) if len(part)
     ]
     with replaced(path, "wb") as out:
-        out.write(png(scatter(shown, size)))
+        out.write(png(scatter(shown, size, radius)))
